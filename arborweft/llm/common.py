@@ -99,3 +99,14 @@ def trimmed(text):
 def words_of(text):
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; [''] where it has none."""
     return F.split(trimmed(text), r"[ \t-\r]+")
+
+
+#: A side of a join is broadcast up to so many bytes, by count of its written rows; beyond, both sides are exchanged.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_sized(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int = 64, most: int | None = None) -> DataFrame:
+    """big joined with a written table, which is broadcast only if its rows prove small."""
+    if small.count() * row_bytes <= (BROADCAST_BYTES if most is None else most):
+        small = F.broadcast(small)
+    return big.join(small, on, how)
