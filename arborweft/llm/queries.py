@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborweft.llm import chat, decontam, lines, mixing, quality, sharding, warc
+from arborweft.llm import chat, decontam, jaccard, lines, mixing, quality, sharding, warc
 from arborweft.llm.common import scratch_path
 
 
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("whole")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return lines.line_digests(docs, lines.keep_bitmaps(docs, min_docs=10, min_chars=1, keep="none")).drop("keep_bitmap")
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_mix_sources": op2_mix_sources,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_line_dedup": op6_line_dedup,
         "op7_warc": op7_warc,
         "op8_chat_format": op8_chat_format,
