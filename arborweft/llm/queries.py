@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborweft.llm import chat, decontam, jaccard, lines, mixing, quality, sharding, warc
+from arborweft.llm import chat, decontam, jaccard, lines, mixing, quality, sharding, suffix, warc
 from arborweft.llm.common import scratch_path
 
 
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("whole")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_mix_sources": op2_mix_sources,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_line_dedup": op6_line_dedup,
         "op7_warc": op7_warc,
