@@ -91,6 +91,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Base of range hashes, and a random value for each symbol.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+SYMBOLS = mix64(np.arange(1, 260, dtype=np.uint64))
+
+
+class Powers:
+    """Powers of the base and of its inverse modulo 2**64, as many as asked for."""
+
+    def __init__(self) -> None:
+        self.n, self.up, self.down = 0, None, None
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.n:
+            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+            self.n = max(n, 1 << 16)
+            for name, b in (("up", BASE), ("down", inverse)):
+                x = np.full(self.n, b, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.multiply.accumulate(x))
+        return self.up, self.down
+
+
+def prefix_sums(symbols: np.ndarray, powers: Powers) -> np.ndarray:
+    """Prefix sums whose differences, scaled, are hashes of ranges."""
+    up, _ = powers.of(len(symbols) + 1)
+    out = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(SYMBOLS[symbols] * up[: len(symbols)], out=out[1:])
+    return out
+
+
+def range_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    return mix64((prefix[end] - prefix[begin]) * powers.down[begin])
+
+
 def trimmed(text):
     """The text without the contracts' white space at its ends; null is empty."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
@@ -110,3 +144,10 @@ def join_sized(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int =
     if small.count() * row_bytes <= (BROADCAST_BYTES if most is None else most):
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a Python worker holds little text at once; a setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (spark.conf.get(key) or "").lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(key, "4m")

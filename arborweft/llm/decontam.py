@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborweft.llm.common import mix64, slices, text_bytes
+from arborweft.llm.common import bound_arrow, mix64, slices, text_bytes
 
 Q, SEGMENT, STRIDE, BAND = 10, 128, 64, 16
 FOUND = "doc_id long, item_id long, start_byte long, end_byte long, edits int"
@@ -183,6 +183,7 @@ def _scan(ix: Index, column: pa.Array, most: int) -> dict[tuple[int, int], tuple
 def _blocks(benchmark: DataFrame, rate: float, block_bytes: int):
     """Indexes of the query set, each of items of at most so many bytes, as broadcast values."""
     spark = benchmark.sparkSession
+    bound_arrow(spark)
     sized = benchmark.select("item_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     blocks = max(1, -(-(sized.agg(F.sum("n")).collect()[0][0] or 0) // block_bytes))
     for k in range(blocks):

@@ -27,40 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborweft.llm.common import join_sized, materialise, mix64, slices, text_bytes
+from arborweft.llm.common import Powers, bound_arrow, join_sized, materialise, mix64, prefix_sums, range_hash, slices, text_bytes
 
 GRAM = 32
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BYTES = mix64(np.arange(1, 260, dtype=np.uint64))
-
-
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as asked for."""
-
-    def __init__(self) -> None:
-        self.n, self.up, self.down = 0, None, None
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            self.n = max(n, 1 << 16)
-            for name, b in (("up", BASE), ("down", inverse)):
-                x = np.full(self.n, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
-
-
-def _prefix(symbols: np.ndarray, powers: Powers) -> np.ndarray:
-    """Prefix sums whose differences, scaled, are hashes of ranges."""
-    up, _ = powers.of(len(symbols) + 1)
-    out = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(BYTES[symbols] * up[: len(symbols)], out=out[1:])
-    return out
-
-
-def _range_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    return mix64((prefix[end] - prefix[begin]) * powers.down[begin])
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -99,9 +68,9 @@ def _anchors(b: np.ndarray, offsets: np.ndarray, length: int, powers: Powers):
     new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     s, e, a = starts[first], starts[np.append(first[1:], len(starts)) - 1], own[first]
-    prefix = _prefix(b, powers)
+    prefix = prefix_sums(b, powers)
     shape = mix64(((a - s).astype(np.uint64) << np.uint64(32)) | (e - s).astype(np.uint64))
-    context = mix64(_range_hash(prefix, s, e + length, powers) ^ shape)
+    context = mix64(range_hash(prefix, s, e + length, powers) ^ shape)
     row = np.searchsorted(offsets, s, "right") - 1
     return row, s - offsets[row], e - offsets[row], grams[a].view(np.int64), context.view(np.int64)
 
@@ -217,8 +186,8 @@ def suffix_array(t: np.ndarray, powers: Powers, rounds: int = 64) -> np.ndarray:
     rough = _induce(t, small, lms, symbols)
     found = rough[first[rough]]
     end = np.append(lms[1:] + 1, n)
-    prefix = _prefix(t, powers)
-    h = _range_hash(prefix, lms, end, powers) ^ mix64((end - lms).astype(np.uint64))
+    prefix = prefix_sums(t, powers)
+    h = range_hash(prefix, lms, end, powers) ^ mix64((end - lms).astype(np.uint64))
     where = np.zeros(n, np.int64)
     where[lms] = np.arange(len(lms))
     own = where[found]
@@ -249,8 +218,8 @@ def repeated_starts(contexts: list[np.ndarray], length: int, powers: Powers) ->
     p = np.flatnonzero(whole & (phi >= 0))
     p = p[whole[phi[p]]]
     q = phi[p]
-    prefix = _prefix(t, powers)
-    same = _range_hash(prefix, p, p + length, powers) == _range_hash(prefix, q, q + length, powers)
+    prefix = prefix_sums(t, powers)
+    same = range_hash(prefix, p, p + length, powers) == range_hash(prefix, q, q + length, powers)
     hit = np.zeros(len(t), bool)
     hit[p[same]] = True
     hit[q[same]] = True
@@ -303,9 +272,9 @@ def _window_ranges(wide: DataFrame, length: int) -> DataFrame:
         powers = Powers()
         for b in batches:
             for gram, once, i, tag, s, raw in zip(*(b.column(c).to_pylist() for c in ("_gram", "_once", "_id", "_tag", "_s", "_bytes")), strict=True):
-                prefix = _prefix(np.frombuffer(raw, np.uint8), powers)
+                prefix = prefix_sums(np.frombuffer(raw, np.uint8), powers)
                 at = np.arange(len(raw) - length + 1)
-                h = pa.array(_range_hash(prefix, at, at + length, powers).view(np.int64))
+                h = pa.array(range_hash(prefix, at, at + length, powers).view(np.int64))
                 same = [pa.array([v] * len(at), t) for v, t in ((gram, pa.int64()), (once, pa.bool_()), (i, pa.int64()), (tag, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array((at + s).astype(np.int32)), h], names=["_gram", "_once", "_id", "_tag", "_s", "_h"])
 
@@ -316,6 +285,7 @@ def _window_ranges(wide: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = 200, shard_bytes: int = 4 << 20, wide_bytes: int = 16 << 20) -> DataFrame:
     """_id, _tag, _ranges: for every document with repeated windows the starts of these, as (first, last) pairs."""
+    bound_arrow(docs.sparkSession)
     again = materialise(anchors(docs, length, only_grams=True).groupBy("_gram").agg(F.count("*").alias("n")).where("n > 1").select("_gram"), "grams")
     found = materialise(join_sized(anchors(docs, length), again, "_gram", "inner", 16), "anchors")
     one = F.min(F.struct("_id", "_tag", "_s", "_e")).alias("one")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborweft.llm.common import bound_arrow
+
 #: Fixed values of the ARC format: the header fields of the two versions.
 ARC_FIELDS = {
     "1": "URL IP-address Archive-date Content-type Archive-length",
@@ -54,6 +56,8 @@ def _arc(version: str, name: str, rows: list[tuple]) -> bytes:
 def pages_to_arc(pages: DataFrame, per_file: int = 200) -> DataFrame:
     """Legacy containers (name, content) of pages: version 1 for even numbers, version 2 for odd ones."""
 
+    bound_arrow(pages.sparkSession)
+
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, per_file):
