@@ -164,6 +164,12 @@ def cascade_order(stats: DataFrame, rules: list[Rule]) -> list[Rule]:
     return order
 
 
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, **options) -> DataFrame:
+    """The documents that no rule rejects, all columns as they were, whatever their names."""
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"))
+    return apply_rules(packed, rules, keep=["_document"], **options).where("kept").select("_document.*")
+
+
 def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, keep: list[str] | None = None, seed: int = 17) -> DataFrame:
     """``keep`` columns, the statistics, base_failed, failed_rule (null if none) and kept for every document."""
     rules = default_rules() if rules is None else rules

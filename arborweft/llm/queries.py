@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborweft.llm import chat, decontam, jaccard, lines, mixing, quality, sharding, suffix, warc
+from arborweft.llm import chat, decontam, jaccard, lines, mixing, quality, sharding, suffix, tokens, warc
 from arborweft.llm.common import scratch_path
 
 
@@ -31,6 +31,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+#: The vocabulary that op5 counts with.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), MODEL)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return lines.line_digests(docs, lines.keep_bitmaps(docs, min_docs=10, min_chars=1, keep="none")).drop("keep_bitmap")
@@ -66,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_token_counts": op5_token_counts,
         "op6_line_dedup": op6_line_dedup,
         "op7_warc": op7_warc,
         "op8_chat_format": op8_chat_format,
