@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborweft.llm.common import materialise
+from arborweft.llm.common import join_sized, materialise
 
 
 def sainte_lague(votes: list[float], seats: int) -> list[int]:
@@ -63,12 +63,29 @@ def share_targets(sizes: list[int], weights: list[float], most: float) -> list[f
     return target
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix in whole documents: every column of docs, a row for each time the mix takes it. Rows of one doc_id are told apart
+    by their number of words."""
+    taken = mix(docs, **options)
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).collect()[0]
+    taken = taken.where("whole > 0 OR size > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_n"), "whole")
+    keyed = docs.withColumn("_mix_size", word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id"))
+    if ids["n"] != ids["d"]:
+        taken = taken.withColumn("_mix_k", F.row_number().over(W.partitionBy("_mix_id", "_mix_n").orderBy("whole")))
+        keyed = keyed.withColumn("_mix_row", F.row_number().over(W.partitionBy("doc_id", "_mix_size").orderBy(F.xxhash64("text"))))
+        same = same & (F.col("_mix_size") == F.col("_mix_n")) & (F.col("_mix_row") == F.col("_mix_k"))
+    joined = join_sized(keyed, materialise(taken.where("whole > 0"), "mix-whole"), same, "inner", 32)
+    copies = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("whole").cast("int"))))
+    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def word_count(text):
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), block_words: int = 128, most: int = 3, rows_per_shard: int = 200_000, seed: int = 20
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), block_words: int = 128, most: int = 3, rows_per_shard: int = 20_000, seed: int = 20
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, whole: ``taken`` words of the document go into the mix, ``whole`` is how
     often a mix of undivided documents takes it (a run takes a document that starts in it)."""
