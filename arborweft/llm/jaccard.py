@@ -8,7 +8,8 @@ size; they order n-grams, and never decide a link.
 
 1. sketch: documents for each bucket of n-gram hashes, added up in two levels.
 2. features: size, digest and rare prefix of each document; equal digests are one class.
-3. documents that share a prefix n-gram are candidates; their components are found by contraction.
+3. documents that share a prefix n-gram, and that their sizes, the places of that n-gram and parity bitmaps of their sets leave
+   a chance, are candidates; their components are found by contraction.
 4. each component is searched in one place (huge ones in chunks): short inverted lists are merged by heap, long ones probed by
    binary search, and documents that reach T are linked. A document linked to a leader is not indexed itself. Links between two
    leaders' followers are bounded by the triangle inequality of the Jaccard distance, and only pairs of leaders near
@@ -31,48 +32,52 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborweft.llm.common import join_sized, materialise, mix64, slices, text_bytes
+from arborweft.llm.common import Powers, bound_arrow, join_sized, materialise, mix64, prefix_sums, range_hash, slices, text_bytes
 
 NONE = -(1 << 63)
 CHUNKS = 64
 
 
-class WordHash(dict):
-    """64-bit hashes of words, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 FACTORS = mix64(np.arange(1, 65, dtype=np.uint64))
+FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def shingles(text: bytes, n: int, known: WordHash) -> np.ndarray:
-    """The sorted distinct hashes of the n-grams of a text's words; of all words where they are fewer."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    total = h[: len(h) - k + 1] * FACTORS[0]
-    for i in range(1, k):
-        total = total + mix64(h[i : len(h) - k + 1 + i] ^ FACTORS[i]) * FACTORS[i]
-    return np.unique(mix64(total + np.uint64(k)))
-
-
-def _sets(column: pa.Array, n: int, known: WordHash):
+def _sets(column: pa.Array, n: int, powers: Powers, slice_bytes: int = 1 << 20):
+    """For each text the sorted distinct hashes of its word n-grams; of all its words where they are fewer."""
     data, offsets = text_bytes(column)
-    view = memoryview(data)
-    for i in range(len(column)):
-        yield shingles(bytes(view[offsets[i] : offsets[i + 1]]), n, known)
+    for first, last in slices(offsets, slice_bytes):
+        own = offsets[first : last + 1] - offsets[first]
+        b = FOLD[data[offsets[first] : offsets[last]]]
+        word = ~BLANK[b]
+        edge = np.zeros(len(b) + 1, bool)
+        edge[own] = True  # words end with their text
+        before = np.append(False, word)
+        starts = np.flatnonzero(word & (~before[:-1] | edge[:-1]))
+        ends = np.flatnonzero(word & (~np.append(word[1:], False) | edge[1:])) + 1
+        h = range_hash(prefix_sums(b, powers), starts, ends, powers) if len(starts) else np.zeros(0, np.uint64)
+        grams = _combine(h, n)
+        at = np.searchsorted(starts, own)
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if hi - lo >= n:
+                yield np.unique(grams[lo : hi - n + 1])
+            elif hi > lo:
+                yield _combine(h[lo:hi], hi - lo)
+            else:
+                yield np.zeros(0, np.uint64)
+
+
+def _combine(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    m = max(0, len(h) - k + 1)
+    total = h[:m] * FACTORS[0]
+    for i in range(1, k):
+        total = total + mix64(h[i : m + i] ^ FACTORS[i % 64]) * FACTORS[i % 64]
+    return mix64(total + np.uint64(k))
 
 
 def _sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
@@ -80,11 +85,11 @@ def _sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     part, fan = (1 << bits) // CHUNKS, 64
 
     def count(batches):
-        table, known = np.zeros(1 << bits, np.uint32), WordHash()
+        table, powers = np.zeros(1 << bits, np.uint32), Powers()
         for b in batches:
             column = b.column(0)
             for first in range(0, len(column), 256):
-                found = [x >> np.uint64(64 - bits) for x in _sets(column.slice(first, 256), n, known)]
+                found = [x >> np.uint64(64 - bits) for x in _sets(column.slice(first, 256), n, powers)]
                 np.add.at(table, np.concatenate(found).astype(np.int64), 1)
         task = TaskContext.get().partitionId() // fan
         for c in range(CHUNKS):
@@ -107,30 +112,75 @@ def _sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, n: int, percent: int, bits: int, hot: int) -> DataFrame:
-    """_id, n_shingles, _digest, and the rare prefix: _rare, and _hot for n-grams that more than ``hot`` documents may have."""
+    """_id, n_shingles, _digest, a parity bitmap of the set, and the rare prefix: _rare, and _hot for n-grams that more than
+    ``hot`` documents may have."""
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n, bits))
-    schema = "_id long, n_shingles long, _digest binary, _rare array<long>, _hot array<long>"
+    schema = "_id long, n_shingles long, _digest binary, _bits array<long>, _rare array<long>, _hot array<long>"
 
     def run(batches):
-        table, known = shared.value, WordHash()
+        table, powers = shared.value, Powers()
         shift = np.uint64(64 - bits)
         for b in batches:
-            size, digest, rare, hots = [], [], [], []
-            for s in _sets(b.column("text"), n, known):
+            size, digest, bits_of, rare, hots = [], [], [], [], []
+            for s in _sets(b.column("text"), n, powers):
                 a = len(s)
                 size.append(a)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                bits_of.append(_parity(s))
                 freq = table[(s >> shift).astype(np.int64)]
                 first = np.lexsort((s, freq))[: a - -(-percent * a // 100) + 1] if a else np.zeros(0, np.int64)
                 over = freq[first] > hot
                 rare.append(s[first[~over]].view(np.int64))
                 hots.append(s[first[over]].view(np.int64))
-            made = [pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), *made], names=["_id", "n_shingles", "_digest", "_rare", "_hot"])
+            made = [pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits_of, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *made], names=["_id", "n_shingles", "_digest", "_bits", "_rare", "_hot"])
 
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(NONE)).cast("long").alias("_id"), "text").mapInArrow(run, schema)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of the parity of the n-grams in each of 1,024 buckets, 16,384 for large sets: two of them differ in at most as
+    many places as the sets in elements."""
+    width = 1024 if len(s) < 4000 else 16384
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _near_pairs(nodes: DataFrame, percent: int, few: int = 32) -> DataFrame:
+    """Edges (u, v) that connect at least all linked documents that share a rare prefix n-gram. Among few documents of an n-gram
+    pairs are tested: by size, by how many n-grams stand before the first shared one, and by parity bitmaps. Many
+    documents become a chain in order of size, cut where sizes are too far apart."""
+    rows = nodes.select("_id", "n_shingles", F.posexplode("_rare").alias("p", "t"))
+    met = rows.groupBy("t").agg(F.array_sort(F.collect_set(F.struct(F.col("n_shingles").alias("a"), F.col("p"), F.col("_id").alias("i")))).alias("r"))
+    met = met.where(F.size("r") > 1)
+    close = lambda x, y: x["a"] * 100 >= y["a"] * percent
+
+    def together(x, y):
+        total = x["a"] + y["a"]
+        need = F.ceil(total * percent / F.lit(100.0 + percent) - 1e-9)
+        return (x["p"] + y["p"]) <= total - 2 * need
+
+    pairs = F.flatten(
+        F.transform(
+            "r",
+            lambda x, k: F.transform(
+                F.filter(F.slice("r", k + 2, F.lit(few)), lambda y: close(x, y) & together(x, y)), lambda y: F.struct(x["i"].alias("u"), y["i"].alias("v"))
+            ),
+        )
+    )
+    chain = F.filter(
+        F.transform("r", lambda y, k: F.when((k > 0) & close(F.get("r", k - 1), y), F.struct(F.get("r", k - 1)["i"].alias("u"), y["i"].alias("v")))),
+        lambda e: e.isNotNull(),
+    )
+    tested = materialise(met.where(F.size("r") <= few).select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u != v").distinct(), "pairs")
+    side = lambda c: nodes.select(F.col("_id").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("_bits").alias(f"{c}_bits"))
+    known = tested.join(side("u"), "u").join(side("v"), "v")
+    differ = F.aggregate(F.zip_with("u_bits", "v_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = (F.col("u_n") + F.col("v_n")) * ((100 - percent) / (100.0 + percent)) + 1e-6
+    known = known.where((F.size("u_bits") != F.size("v_bits")) | (differ <= most))
+    return known.select("u", "v").union(met.where(F.size("r") > few).select(F.explode(chain).alias("e")).select("e.u", "e.v"))
+
+
 def _need(a: int, b: int, percent: int) -> int:
     """The overlap at which sets of these sizes have a similarity of percent / 100."""
     return -(-percent * (a + b) // (100 + percent))
@@ -358,9 +408,9 @@ def _texts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*rest).schema) + ", _set binary"
 
     def run(batches):
-        known = WordHash()
+        powers = Powers()
         for b in batches:
-            made = pa.array([s.tobytes() for s in _sets(b.column("text"), n, known)], pa.binary())
+            made = pa.array([s.tobytes() for s in _sets(b.column("text"), n, powers)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), made], names=[*rest, "_set"]).filter(pa.compute.greater(pa.compute.binary_length(made), 0))
 
     return rows.mapInArrow(run, schema)
@@ -389,21 +439,19 @@ def _join_chunks(docs: DataFrame, blocks: DataFrame, n: int, percent: int, limit
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = 3, percent: int = 90, sketch_bits: int = 22, hot: int = 20_000, chunk_shingles: int = 4_000_000
+    docs: DataFrame, words: int = 3, percent: int = 90, sketch_bits: int = 22, hot: int = 20_000, chunk_shingles: int = 1_000_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest doc_id reachable by links of similarity percent / 100 or more."""
+    bound_arrow(docs.sparkSession)
     features = materialise(_features(docs, words, percent, sketch_bits, hot), "features")
     copies = features.where("n_shingles > 0").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(copies.select("_digest", "_rep"), "copies")
     classes = join_sized(features, copies, "_digest", "left", 48).withColumn("_rep", F.coalesce("_rep", "_id"))
     nodes = classes.where("_id = _rep")
-    # n-grams few documents have: all rows of one meet; those that many may have: the smallest id is found first
-    rare = nodes.select("_id", F.explode("_rare").alias("t"))
-    rare = rare.groupBy("t").agg(F.collect_set("_id").alias("ids")).where(F.size("ids") > 1)
-    rare = rare.select(F.explode("ids").alias("u"), F.array_min("ids").alias("v"))
+    # n-grams few documents have: their documents meet; those that many may have: the smallest id is found first
     common = nodes.select("_id", F.explode("_hot").alias("t"))
     least = common.groupBy("t").agg(F.min("_id").alias("v"), F.max("_id").alias("w")).where("v != w")
-    edges = rare.union(common.join(least, "t").select(F.col("_id").alias("u"), "v"))
+    edges = _near_pairs(nodes, percent).union(common.join(least, "t").select(F.col("_id").alias("u"), "v"))
     members = components(edges)
     sizes = features.select("_id", "n_shingles").dropDuplicates(["_id"])
     members = members.select("_id", F.col("_root").alias("_comp")).join(sizes, "_id")
