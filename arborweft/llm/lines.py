@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from arborweft.llm.common import LOWER, SPACE, UPPER
+from arborweft.llm.common import LOWER, SPACE, UPPER, bound_arrow, materialise
 
 RUNS = "_h1 long, _h2 long, n_docs long, first_doc long, first_row long, first_pos int"
 
@@ -105,7 +105,8 @@ def _bitmaps(batches):
 def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str = "first") -> DataFrame:
     """_doc, _row, bitmap of every document that loses lines. keep='first' leaves the first occurrence, in order of
     (doc_id, text hash, position), of each key found in min_docs documents or more; keep='none' leaves none."""
-    keys = line_keys(docs, min_chars)
+    bound_arrow(docs.sparkSession)
+    keys = materialise(line_keys(docs, min_chars), "line-keys")
     ordered = keys.repartitionByRange("_h1", "_h2", "_doc").sortWithinPartitions("_h1", "_h2", "_doc", "_row", "_pos")
     runs = ordered.mapInArrow(_runs, RUNS)
     first = F.min(F.struct("first_doc", "first_row", "first_pos")).alias("first")
@@ -156,8 +157,11 @@ def line_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [_kept(t, m) for t, m in zip(b.column("text").to_pylist(), b.column("_bitmap").to_pylist(), strict=True)]
-            sha = pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string())
+            rows = []
+            for t, m in zip(b.column("text"), b.column("_bitmap"), strict=True):
+                n, dropped, left = _kept(t.as_py(), m.as_py())
+                rows.append((n, dropped, hashlib.sha256(left.encode()).hexdigest()))
+            sha = pa.array([r[2] for r in rows], pa.string())
             counts = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, sha, b.column("_bitmap")], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_bitmap"])
 
