@@ -82,7 +82,8 @@ def extract_jsp(files: DataFrame, inventory: DataFrame) -> tuple[DataFrame, Data
     nodes = _nodes(pages, me, "Jsp", jsp_name(F.col("path")), F.col("path"), _map(type=F.lit("jsp"), path=F.col("path"), fragment=fragment))
 
     def refs(*kinds: str) -> DataFrame:
-        whole = F.concat(*(F.transform(k, lambda w, k=k: F.struct(w.alias("web"), F.lit(k).alias("how"))) for k in kinds))
+        named = lambda k: F.transform(k, lambda w: F.struct(w.alias("web"), F.lit(k).alias("how")))
+        whole = F.concat(*map(named, kinds))
         rows = pages.select("path", "seq", F.posexplode(whole).alias("position", "r")).select("path", "seq", "position", "r.web", "r.how")
         return rows.join(roots, "path", "left")
 

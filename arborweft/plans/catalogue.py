@@ -58,9 +58,9 @@ CATALOGUE = {
 }
 
 
-def ask(graph: Graph, name: str, **params) -> DataFrame:
+def ask(graph: Graph, question: str, /, **params) -> DataFrame:
     """One of the catalogue's questions."""
-    return cypher(graph, CATALOGUE[name], params)
+    return cypher(graph, CATALOGUE[question], params)
 
 
 def projected(spark: SparkSession, sf_dir: str, *relations: str) -> Graph:
