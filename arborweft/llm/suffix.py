@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborweft.llm.common import Powers, bound_arrow, join_sized, materialise, mix64, prefix_sums, range_hash, slices, text_bytes
+from arborweft.llm.common import Powers, bound_arrow, materialise, mix64, prefix_sums, range_hash, slices, text_bytes
 
 GRAM = 32
 
@@ -81,7 +81,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("_id"), F.hash(text).alias("_tag"), text.alias("text"), F.col("doc_id"))
 
 
-def anchors(docs: DataFrame, length: int, only_grams: bool = False, slice_bytes: int = 2 << 20) -> DataFrame:
+def anchors(docs: DataFrame, length: int, only_grams: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
     schema = "_gram long" if only_grams else "_id long, _tag int, _s int, _e int, _gram long, _ctx long"
 
     def run(batches):
@@ -283,19 +283,19 @@ def _window_ranges(wide: DataFrame, length: int) -> DataFrame:
     return windows.where("_once").join(twice, ["_gram", "_h"]).select("_id", "_tag", "_s", F.col("_s").alias("_e"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = 200, shard_bytes: int = 4 << 20, wide_bytes: int = 16 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20, wide_bytes: int = 2 << 20) -> DataFrame:
     """_id, _tag, _ranges: for every document with repeated windows the starts of these, as (first, last) pairs."""
     bound_arrow(docs.sparkSession)
     again = materialise(anchors(docs, length, only_grams=True).groupBy("_gram").agg(F.count("*").alias("n")).where("n > 1").select("_gram"), "grams")
-    found = materialise(join_sized(anchors(docs, length), again, "_gram", "inner", 16), "anchors")
+    found = materialise(anchors(docs, length).join(again, "_gram"), "anchors")
     one = F.min(F.struct("_id", "_tag", "_s", "_e")).alias("one")
     contexts = materialise(found.groupBy("_gram", "_ctx").agg(F.count("*").alias("n"), one), "contexts")
-    full = join_sized(found, contexts.where("n > 1").select("_gram", "_ctx"), ["_gram", "_ctx"], "left_semi", 24).select("_id", "_tag", "_s", "_e")
+    full = found.join(contexts.where("n > 1").select("_gram", "_ctx"), ["_gram", "_ctx"], "left_semi").select("_id", "_tag", "_s", "_e")
     per_gram = contexts.groupBy("_gram").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum(F.expr(f"one._e - one._s + {length}")).alias("bytes"))
     per_gram = per_gram.where("once > 0").select("_gram", (F.col("bytes") > wide_bytes).alias("_wide"))
     edges = contexts.join(per_gram, "_gram").select("one.*", "_gram", (F.col("n") == 1).alias("_once"), "_wide")
     wanted = materialise(edges.groupBy("_id", "_tag").agg(F.collect_list(F.struct("_gram", "_once", "_wide", "_s", "_e")).alias("want")), "wanted")
-    pieces = join_sized(_rows(docs).select("_id", "_tag", "text"), wanted, ["_id", "_tag"], "inner", 512)
+    pieces = _rows(docs).select("_id", "_tag", "text").join(wanted, ["_id", "_tag"])
     schema = "_gram long, _once boolean, _wide boolean, _id long, _tag int, _s int, _bytes binary"
 
     def cut(batches):
@@ -330,7 +330,7 @@ def _spans(ranges, length: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = 200, **more) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
     ranges = materialise(repeated_ranges(docs, length, **more), "ranges")
-    joined = join_sized(_rows(docs), ranges, ["_id", "_tag"], "left", 256)
+    joined = _rows(docs).join(ranges, ["_id", "_tag"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches):
