@@ -16,7 +16,7 @@ from arborweft.operators.extract import extract
 from arborweft.operators.merge import bag_union, insert_if_absent
 from arborweft.schema import LOCATION, METADATA
 from arborweft.sources.files import list_files, read_texts
-from arborweft.sources.registry import in_source_order, supported_languages
+from arborweft.sources.registry import source_rank, supported_languages
 
 
 @dataclass
@@ -80,7 +80,7 @@ def resolve_graph(parts: dict[str, DataFrame], accept: PackageFilter | None = No
 
 def analyze_texts(files: DataFrame, accept: PackageFilter | None = None, mode: str = "reference", inventory: DataFrame | None = None) -> CodeGraph:
     """The graph of texts as ``read_texts`` or ``from_texts`` gives them."""
-    ordered = cut(in_source_order(files.where("supported")))
+    ordered = cut(files.where("supported").withColumn("seq", source_rank(F.col("path"))))
     graph = resolve_graph(extract(ordered, inventory if inventory is not None else files), accept, mode)
     graph.files = files
     return graph

@@ -35,7 +35,7 @@ def read_records(files: DataFrame) -> DataFrame:
     readers = {x.name: registry.EXTRACTORS.get(x.name) or READERS.get(x.extractor) for x in registry.all_languages()}
     own = [n for n, f in readers.items() if f]
     columns = ["rec", "id", "kind", "name", "file_path", "src", "dst", "relation", "error"]
-    schema = "file string, seq int, ord int, rec string, id string, kind string, name string, file_path string, src string, dst string, relation string, error string, place string, meta string"
+    schema = "file string, seq string, ord int, rec string, id string, kind string, name string, file_path string, src string, dst string, relation string, error string, place string, meta string"
 
     def run(batches):
         for b in batches:
@@ -49,10 +49,10 @@ def read_records(files: DataFrame) -> DataFrame:
                     place = json.dumps(dict(zip(_PLACE, r["location"], strict=True))) if r.get("location") else None
                     out.append((path, seq, k, *(r.get(c) for c in columns), place, json.dumps(r.get("metadata") or {})))
             if out:
-                kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * (len(columns) + 2)]
+                kinds = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * (len(columns) + 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["file", "seq", "ord", *columns, "place", "meta"])
 
-    texts = files.where(F.col("language").isin(own) & F.col("text").isNotNull()).select("path", F.col("seq").cast("int").alias("seq"), "language", "text")
+    texts = files.where(F.col("language").isin(own) & F.col("text").isNotNull()).select("path", F.col("seq").cast("string").alias("seq"), "language", "text")
     rows = texts.mapInArrow(run, schema)
     return rows.select("*", F.from_json("place", LOCATION).alias("location"), F.from_json("meta", METADATA).alias("metadata")).drop("place", "meta")
 

@@ -41,4 +41,4 @@ NODES = _schema("project_path project_name id kind name file_path location metad
 EDGES = _schema("project_path project_name edge_id src dst relation metadata", edge_id="long")
 FILES = _schema("project_path path rel_path name ext language extractor supported is_jsp size", supported="boolean", is_jsp="boolean", size="long")
 #: What an extractor gives for a file: nodes, edges, calls to resolve and errors in one stream, in order of appearance.
-RECORDS = _schema("file seq ord rec id kind name file_path location metadata src dst relation error", seq="int", ord="int")
+RECORDS = _schema("file seq ord rec id kind name file_path location metadata src dst relation error", ord="int")

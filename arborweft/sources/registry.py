@@ -91,8 +91,14 @@ def is_jsp(path) -> F.Column:
     return F.coalesce(extension(path).isin("jsp", "jspx", "jspf"), F.lit(False))
 
 
+def source_rank(path) -> F.Column:
+    """A string that sorts as sources count: pages after all other sources, then by path. Later nodes are merged into earlier
+    ones, and for that a sort key does; no task has to see all files."""
+    return F.concat(F.when(is_jsp(path), "1").otherwise("0"), path)
+
+
 def in_source_order(files: DataFrame, tie: str | None = None) -> DataFrame:
-    """files with seq from 1: pages after all other sources, then by path. Later nodes are merged into earlier ones."""
+    """files with seq from 1, for lists that show numbers: one task sorts all rows."""
     keys = [is_jsp(F.col("path")), F.col("path"), *([F.col(tie)] if tie else [])]
     return files.withColumn("seq", F.row_number().over(W.orderBy(*keys)))
 
