@@ -631,6 +631,98 @@ def _(s, d):
     return store.node_view(full).select("id", "node_type", "language", "package", F.array_join("labels", ",").alias("labels"))
 
 
+def _sources(s, d, ext: str, text) -> DataFrame:
+    """A source file for each supplier; k is its key and b the next."""
+    k = F.col("s_suppkey")
+    rows = table(s, d, "supplier").select(k.cast("string").alias("k"), (k + 1).cast("string").alias("b"), F.col("s_nationkey").cast("string").alias("n"))
+    files = rows.select(F.concat(F.lit("f"), "k", F.lit(ext)).alias("path"), F.format_string(text, *(F.col(c) for c in ("k", "b", "n"))).alias("text"))
+    return registry.detect_language(files).withColumn("supported", F.lit(True)).withColumn("read_error", F.lit(None).cast("string"))
+
+
+def _resolved(s, d, ext: str, text: str, *relations: str) -> DataFrame:
+    from arborweft.operators.analysis import analyze_texts
+
+    return analyze_texts(_sources(s, d, ext, text)).edges.where(F.col("relation").isin(*relations)).select("src", "dst", "relation")
+
+
+_S = "s AS (SELECT s_suppkey AS k, s_suppkey + 1 AS b, s_nationkey AS n FROM supplier)"
+
+
+@op(
+    "extract_java_graph",
+    f"""WITH {_S}, f AS (SELECT *, 'f' || k || '.java::com.n' || n || '::S' || k || '::' AS p, 'com.n' || n || '.S' || k AS c FROM s)
+    SELECT c AS src, p || 'function:' || m AS dst, 'Contains' AS relation FROM f, (VALUES ('run'), ('go')) t(m)
+    UNION ALL SELECT c, p || 'variable:prev', 'Contains' FROM f
+    UNION ALL SELECT 'f' || k || '.java::package:com.n' || n, c, 'Contains' FROM f
+    UNION ALL SELECT 'f' || k || '.java::module', x, 'Contains' FROM (SELECT k, 'f' || k || '.java::package:com.n' || n AS x FROM f UNION ALL SELECT k, 'f' || k || '.java::import:java.util.List' FROM f)
+    UNION ALL SELECT a.c, b.c, 'Extends' FROM f a JOIN f b ON b.k = a.b
+    UNION ALL SELECT a.p || 'function:run', coalesce(b.p || 'function:go', 'S' || a.b || '::function:go'), 'Calls' FROM f a LEFT JOIN f b ON b.k = a.b
+    UNION ALL SELECT p || 'function:go', p || 'function:run', 'Calls' FROM f
+    UNION ALL SELECT 'S' || a.b, 'S' || a.b || '::function:go', 'Contains' FROM f a WHERE a.b NOT IN (SELECT k FROM f)
+    UNION ALL SELECT p || 'function:run', p || 'param:n', 'Defines' FROM f UNION ALL SELECT c, 'java.util.List', 'Imports' FROM f""",
+    graph=False,
+)
+def _(s, d):
+    text = "package com.n%3$s;\nimport java.util.List;\npublic class S%1$s extends S%2$s {\n  private S%2$s prev;\n  public void run(int n) { prev.go(); }\n  public void go() { run(1); }\n}\n"
+    return _resolved(s, d, ".java", text, "Contains", "Extends", "Calls", "Defines", "Imports")
+
+
+@op(
+    "extract_javascript_graph",
+    f"""WITH {_S}, f AS (SELECT *, 'f' || k || '.js::' AS p FROM s)
+    SELECT p || 'module' AS src, p || 'class:D' || k AS dst, 'Contains' AS relation FROM f UNION ALL SELECT p || 'class:D' || k, p || 'D' || k || '::function:' || m, 'Contains' FROM f, (VALUES ('run'), ('go')) t(m)
+    UNION ALL SELECT p || 'module', p || 'object:o' || k, 'Contains' FROM f UNION ALL SELECT p || 'object:o' || k, p || 'o' || k || '::function:show', 'Defines' FROM f
+    UNION ALL SELECT a.p || 'class:D' || a.k, b.p || 'class:D' || b.k, 'Extends' FROM f a JOIN f b ON b.k = a.b
+    UNION ALL SELECT a.p || 'D' || a.k || '::function:run', coalesce(b.p || 'D' || b.k || '::function:go', 'D' || a.b || '::function:go'), 'Calls' FROM f a LEFT JOIN f b ON b.k = a.b
+    UNION ALL SELECT 'D' || b, 'D' || b || '::function:go', 'Contains' FROM f WHERE b NOT IN (SELECT k FROM f)""",
+    graph=False,
+)
+def _(s, d):
+    text = "class D%1$s extends D%2$s { svc = new D%2$s(%3$s); run() { this.svc.go(); } go() { return `x${1}`; } }\nconst o%1$s = { show: function (m) { return m; } };\n"
+    return _resolved(s, d, ".js", text, "Contains", "Extends", "Calls", "Defines")
+
+
+@op(
+    "extract_rust_graph",
+    f"""WITH {_S}, f AS (SELECT *, 'f' || k || '.rs::' AS p FROM s)
+    SELECT p || 'module' AS src, p || x || k AS dst, 'Contains' AS relation FROM f, (VALUES ('class:T'), ('trait:R')) t(x)
+    UNION ALL SELECT p || 'module', p || 'function:helper', 'Contains' FROM f UNION ALL SELECT p || 'class:T' || k, p || 'T' || k || '::function:make', 'Contains' FROM f
+    UNION ALL SELECT p || 'T' || k || '::function:make', p || 'function:helper', 'Calls' FROM f UNION ALL SELECT p || 'function:helper', p || 'T' || k || '::function:make', 'Calls' FROM f""",
+    graph=False,
+)
+def _(s, d):
+    text = "use std::fmt;\npub struct T%1$s { n: u%2$s }\npub trait R%1$s { fn sig(&self) -> u8; }\nimpl T%1$s { pub fn make() -> u8 { helper() } }\nfn helper() -> u8 { T%1$s::make(); String::new(); println!(\"{}\", other()); %3$s }\n"
+    return _resolved(s, d, ".rs", text, "Contains", "Calls")
+
+
+@op(
+    "extract_portlets",
+    """SELECT 'portlet::P' || s_suppkey AS dst, 'view,edit' AS modes, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) END AS cache, 'v' || s_suppkey || '.jsp' AS template FROM supplier""",
+    graph=False,
+)
+def _(s, d):
+    from arborweft.operators import markup
+
+    k = F.col("s_suppkey").cast("string")
+    cache = F.when(F.col("s_suppkey") % 2 == 0, k).otherwise("none")
+    text = F.concat(
+        F.lit("<portlet><portlet-name> P"), k, F.lit("</portlet-name><portlet-class>c.P</portlet-class><expiration-cache>"), cache, F.lit("</expiration-cache><portlet-mode>view</portlet-mode><portlet-mode> edit </portlet-mode><init-param><name>template-view</name><value>v"),
+        k, F.lit(".jsp</value></init-param><init-param><name>other</name><value>x</value></init-param></portlet>"),
+    )
+    _, edges = markup.extract_portlet_xml(table(s, d, "supplier").select(F.concat(k, F.lit("/portlet.xml")).alias("path"), text.alias("text"), F.lit(1).alias("seq")))
+    m = F.col("metadata")
+    return edges.where("relation = 'Configures'").select("dst", m["modes"].alias("modes"), m["cacheSeconds"].alias("cache"), m["param_template-view"].alias("template"))
+
+
+@op(
+    "kind_relation_summary",
+    """SELECT 'node' AS what, kind AS name, count(*) AS n FROM gnodes GROUP BY kind UNION ALL SELECT 'edge', relation, count(*) FROM gedges GROUP BY relation
+    UNION ALL SELECT 'node', 'total', count(*) FROM gnodes UNION ALL SELECT 'edge', 'total', count(*) FROM gedges""",
+)
+def _(s, d):
+    return store.summary(gnodes(s, d), gedges(s, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from arborweft.plans import catalogue
 

@@ -324,3 +324,27 @@ class Java:
 
 def read_java(path: str, text: str) -> list[dict]:
     return Java(path, text).read()
+
+
+class Renders(Java):
+    """What a portlet's methods dispatch to: not part of the graph by default, as the exported vocabulary lacks it."""
+
+    def __init__(self, path: str, text: str) -> None:
+        super().__init__(path, text)
+        self.found: list[dict] = []
+
+    def invocation(self, i: int, scope: Scope) -> None:
+        s = self.s
+        page = s.at(i + 2).strip('"')
+        if self.learning or s.t[i] != "dispatch" or not scope.function or s.at(i + 2)[:1] != '"' or not page.endswith(".jsp"):
+            return
+        method = scope.function.rsplit(":", 1)[-1].lower()
+        mode = "edit" if "edit" in method else "help" if "help" in method else "view"
+        self.found.append({"rec": "edge", "src": self.classes[0] if self.classes else scope.class_id, "dst": f"jsp::{page}", "relation": "Renders", "metadata": {"mode": mode, "method": scope.function.rsplit(":", 1)[-1]}})
+
+
+def read_renders(path: str, text: str) -> list[dict]:
+    """Renders edges from the first class of a text to the pages its methods dispatch to."""
+    reader = Renders(path, text)
+    reader.read()
+    return reader.found

@@ -220,3 +220,10 @@ def test_empty_tree(spark):
     g = analyze_texts(from_texts(spark, {"a.txt": "x"}))
     assert g.nodes.count() == 0
     assert g.edges.count() == 0
+
+
+def test_renders_is_an_extra():
+    from arborweft.operators.parsers.java import read_renders
+
+    text = 'package p; class V extends G { void doView() { dispatch("/a.jsp"); other("/b.jsp"); } void doEdit(R r) { if (r.ok()) dispatch("e.jsp", r); } }'
+    assert [(r["src"], r["dst"], r["metadata"]["mode"]) for r in read_renders("V.java", text)] == [("p.V", "jsp::/a.jsp", "view"), ("p.V", "jsp::e.jsp", "edit")]
