@@ -1 +1,10 @@
-"""Spark-native analytics over code knowledge graphs."""
+"""Spark-native analytics over code knowledge graphs.
+
+Functions of the package travel to the executors by value, so a cluster needs no copy of it on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

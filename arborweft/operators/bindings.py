@@ -408,6 +408,27 @@ def _(s, d):
     return nodes.select("id", "kind", "name", F.col("metadata")["package"].alias("package"))
 
 
+@op("function_index", "SELECT name, count(*) AS n, min(id) AS first, string_agg(id, ',' ORDER BY id) AS ids FROM gnodes WHERE kind = 'Function' GROUP BY name")
+def _(s, d):
+    return resolve.function_index(gnodes(s, d)).select("name", long(F.size("ids")).alias("n"), F.col("ids")[0].alias("first"), F.array_join("ids", ",").alias("ids"))
+
+
+@op(
+    "inheritance_with_phantoms",
+    """, x AS (SELECT 'nation::' || n_nationkey AS src, CASE WHEN n_nationkey % 2 = 0 THEN 'lib.' || n_name ELSE r_name END AS parent FROM nation JOIN region ON r_regionkey = n_regionkey),
+    c AS (SELECT name, min(id) AS id FROM gnodes WHERE kind = 'Package' GROUP BY name)
+    SELECT src, coalesce(c.id, parent) AS dst, c.id IS NULL AS phantom FROM x LEFT JOIN c ON c.name = parent""",
+)
+def _(s, d):
+    both = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    parent = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("lib."), "n_name")).otherwise(F.col("r_name"))
+    own = both.select(F.concat(F.lit("nation::"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("Class").alias("kind"), F.col("n_name").alias("name"), F.create_map(F.lit("superclass"), parent, F.lit("superclass_simple"), parent).alias("metadata"))
+    regions = gnodes(s, d).where("kind = 'Package'").select("id", F.lit("Class").alias("kind"), "name", F.create_map().cast("map<string,string>").alias("metadata"))
+    nodes, edges = resolve.resolve_inheritance_local(own.unionByName(regions))
+    stubs = nodes.where(F.col("metadata")["is_phantom"] == "true").select(F.col("id").alias("dst"), F.lit(True).alias("phantom"))
+    return edges.join(stubs, "dst", "left").select("src", "dst", F.coalesce("phantom", F.lit(False)).alias("phantom"))
+
+
 _DANGLING = "dang AS (SELECT src, CASE WHEN dst LIKE '%5' THEN 'lost::' || (SELECT name FROM gnodes g WHERE g.id = calls.dst) WHEN dst LIKE '%6' THEN 'lost::nowhere' ELSE dst END AS dst FROM calls)"
 
 

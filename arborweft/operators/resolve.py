@@ -72,6 +72,22 @@ def resolve_implements(nodes: DataFrame, classes: DataFrame, accept: PackageFilt
     return out.select(F.col("id").alias("src"), target.alias("dst"), F.lit("Implements").alias("relation")).where("dst IS NOT NULL")
 
 
+def resolve_inheritance_local(nodes: DataFrame, accept: PackageFilter | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes with stub classes for parents that are not there, and Extends and Implements edges to them and to local ones."""
+    accept = accept or PackageFilter()
+    classes = class_index(nodes)
+    edges = resolve_extends(nodes, classes, accept, phantoms=True).unionByName(resolve_implements(nodes, classes, accept, phantoms=True))
+    missing = edges.select("dst").distinct().join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in nodes.schema if f.name not in ("id", "kind", "name", "metadata")]
+    stubs = phantom_class(missing, "dst").select("*", *rest)
+    return nodes.unionByName(stubs.withColumn("metadata", F.col("metadata").cast(nodes.schema["metadata"].dataType))), edges
+
+
+def function_index(nodes: DataFrame) -> DataFrame:
+    """name, ids: all functions of a name, in order."""
+    return nodes.where("kind = 'Function'").groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
 def function_segments(functions: DataFrame) -> DataFrame:
     """name, segment, id: each function with every part of its id between two ``::``. ids are (id, name)."""
     parts = F.split("id", "::")

@@ -69,3 +69,16 @@ def test_registry():
     assert registry.has_specialized_extractor("java")
     assert not registry.has_specialized_extractor("python")
     assert registry.get_language("nope") is None
+
+
+def test_data_source(spark, tmp_path):
+    from arborweft.sources import datasource
+
+    for name, body in (("a/B.java", b"class B {}"), (".x/C.java", b""), ("n.txt", b"t"), ("é.js", "é".encode("latin-1"))):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    datasource.register(spark)
+    found = spark.read.format("source_tree").option("targetBytes", 1).load(str(tmp_path))
+    assert {(r["rel_path"], r["language"]) for r in found.collect()} == {("a/B.java", "java"), ("é.js", "javascript")}
+    assert found.where("rel_path = 'a/B.java'").first()["text"] == "class B {}"
+    assert spark.read.format("source_tree").option("knownOnly", "false").load(str(tmp_path)).count() == 3
