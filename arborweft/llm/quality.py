@@ -167,7 +167,9 @@ def cascade_order(stats: DataFrame, rules: list[Rule]) -> list[Rule]:
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, **options) -> DataFrame:
     """The documents that no rule rejects, all columns as they were, whatever their names."""
     packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"))
-    return apply_rules(packed, rules, keep=["_document"], **options).where("kept").select("_document.*")
+    judged = apply_rules(packed, rules, keep=["_document"], **options)
+    # a filter would be pushed below the statistics and compute them again for each place it names them
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_document"))).alias("_document")).select("_document.*")
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, keep: list[str] | None = None, seed: int = 17) -> DataFrame:
