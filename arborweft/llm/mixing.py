@@ -68,16 +68,16 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     by their number of words."""
     taken = mix(docs, **options)
     ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).collect()[0]
-    taken = taken.where("whole > 0 OR size > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_n"), "whole")
-    keyed = docs.withColumn("_mix_size", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_id"))
+    taken = taken.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_n"), F.col("whole").cast("int").alias("_mix_whole"))
+    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document")
+    keyed = docs.select(packed, F.col("doc_id").alias("_doc"), word_count(F.col("text")).alias("_mix_size"), F.xxhash64("text").alias("_mix_hash"))
+    same = F.col("_doc").eqNullSafe(F.col("_mix_id"))
     if ids["n"] != ids["d"]:
-        taken = taken.withColumn("_mix_k", F.row_number().over(W.partitionBy("_mix_id", "_mix_n").orderBy("whole")))
-        keyed = keyed.withColumn("_mix_row", F.row_number().over(W.partitionBy("doc_id", "_mix_size").orderBy(F.xxhash64("text"))))
+        taken = taken.withColumn("_mix_k", F.row_number().over(W.partitionBy("_mix_id", "_mix_n").orderBy("_mix_whole")))
+        keyed = keyed.withColumn("_mix_row", F.row_number().over(W.partitionBy("_doc", "_mix_size").orderBy("_mix_hash")))
         same = same & (F.col("_mix_size") == F.col("_mix_n")) & (F.col("_mix_row") == F.col("_mix_k"))
-    joined = join_sized(keyed, materialise(taken.where("whole > 0"), "mix-whole"), same, "inner", 32)
-    copies = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("whole").cast("int"))))
-    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
+    joined = join_sized(keyed, materialise(taken.where("_mix_whole > 0"), "mix-whole"), same, "inner", 32)
+    return joined.select("_document", F.explode(F.array_repeat(F.lit(1), F.col("_mix_whole"))).alias("_copy")).select("_document.*")
 
 
 def word_count(text):
@@ -136,5 +136,5 @@ def mix(
         "source_size",
         "target",
         (full + part).alias("taken"),
-        (F.col("_pass") + F.when(begins & (F.col("size") > 0), 1).otherwise(0)).alias("whole"),
+        F.when(F.col("size") > 0, F.col("_pass") + F.when(begins, 1).otherwise(0)).otherwise(zero).alias("whole"),
     )
