@@ -442,6 +442,8 @@ def jaccard_components(
     docs: DataFrame, words: int = 3, percent: int = 90, sketch_bits: int = 22, hot: int = 20_000, chunk_shingles: int = 1_000_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest doc_id reachable by links of similarity percent / 100 or more."""
+    if not 67 <= percent <= 100:  # below, leaders of linked followers may share nothing
+        raise ValueError("percent has to be from 67 to 100")
     bound_arrow(docs.sparkSession)
     features = materialise(_features(docs, words, percent, sketch_bits, hot), "features")
     copies = features.where("n_shingles > 0").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count("*").alias("n")).where("n > 1")
