@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from arborweft.llm.common import LOWER, SPACE, UPPER, bound_arrow, materialise
+from arborweft.llm.common import LOWER, SPACE, UPPER, bound_arrow, join_sized, materialise
 
 RUNS = "_h1 long, _h2 long, n_docs long, first_doc long, first_row long, first_pos int"
 
@@ -111,7 +111,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: s
     runs = ordered.mapInArrow(_runs, RUNS)
     first = F.min(F.struct("first_doc", "first_row", "first_pos")).alias("first")
     common = runs.groupBy("_h1", "_h2").agg(F.sum("n_docs").alias("n_docs"), first).where(F.col("n_docs") >= min_docs)
-    drops = keys.join(common, ["_h1", "_h2"])
+    # written first, so that the join has exchanges of its own, which a hot line's rows can be split in
+    drops = join_sized(keys, materialise(common, "common-lines"), ["_h1", "_h2"], "inner", 48)
     if keep == "first":
         here = F.struct(F.col("_doc"), F.col("_row"), F.col("_pos"))
         drops = drops.where(here != F.struct(F.col("first.first_doc"), F.col("first.first_row"), F.col("first.first_pos")))
