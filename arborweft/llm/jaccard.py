@@ -26,8 +26,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from bisect import bisect_left
-from itertools import groupby
+from collections import Counter
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from arborweft.llm.common import Powers, bound_arrow, join_sized, materialise, mix64, prefix_sums, range_hash, slices, text_bytes
 
 NONE = -(1 << 63)
+#: How many of the longest lists are set aside: T / (MU log2(longest) + 1), the published rule and constant.
+MU = 0.0085
 CHUNKS = 64
 
 
@@ -209,42 +211,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Inverted:
-    """An inverted index of sets, searched by DivideSkip."""
+    """An inverted index of sets (sorted arrays of hashes), searched by DivideSkip."""
 
     def __init__(self) -> None:
         self.lists: dict[int, list[int]] = {}
-        self.sizes: list[int] = []
+        self.sets: list[np.ndarray] = []
 
-    def add(self, tokens: list[int]) -> None:
-        k = len(self.sizes)
-        self.sizes.append(len(tokens))
-        for t in tokens:
+    def add(self, own: np.ndarray) -> None:
+        k = len(self.sets)
+        self.sets.append(own)
+        for t in own.tolist():
             self.lists.setdefault(t, []).append(k)
 
-    def search(self, tokens: list[int], percent: int) -> list[tuple[int, int]]:
-        """(set, overlap) of all sets whose similarity with the query reaches the percentage."""
-        a = len(tokens)
-        lists = [x for t in tokens if (x := self.lists.get(t))]
+    def search(self, query: np.ndarray, percent: int, wanted=None):
+        """(set, overlap) of the sets whose similarity with the query reaches the percentage, the most promising first. wanted(set) is
+        asked just before a set would be probed, so a caller can pass over what it has come to know."""
+        a = len(query)
+        lists = [(x, t) for t in query.tolist() if (x := self.lists.get(t))]
         least = -(-percent * a // 100)
         if len(lists) < least:
-            return []
-        lists.sort(key=len)
-        # the longest lists are set aside; a document needs the rest of T from the short ones
-        most = len(lists[-1])
-        aside = 0 if most < 8 else min(least - 1, int(least / (0.0085 * np.log2(most) * 100 / 8 + 1)))
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        found = []
-        for k, run in groupby(heapq.merge(*short)):
-            n = sum(1 for _ in run)
-            need = _need(a, self.sizes[k], percent)
-            if n + aside < need:
+            return
+        lists.sort(key=lambda x: len(x[0]))
+        # the longest lists are set aside; a set needs the rest of T from the short ones
+        aside = min(least - 1, int(least / (MU * np.log2(len(lists[-1][0])) + 1)))
+        short = [x for x, _ in lists[: len(lists) - aside]]
+        long = np.sort(np.array([t for _, t in lists[len(lists) - aside :]], np.uint64))
+        if sum(map(len, short)) < 2000:
+            counts = [(k, sum(1 for _ in run)) for k, run in groupby(heapq.merge(*short))]
+        else:  # so many entries are counted faster than they are merged
+            counts = Counter(chain.from_iterable(short)).items()
+        for k, n in sorted(counts, key=lambda x: (-x[1], x[0])):
+            own = self.sets[k]
+            need = _need(a, len(own), percent)
+            if n + aside < need or (wanted is not None and not wanted(k)):
                 continue
-            for x in long:
-                i = bisect_left(x, k)
-                n += i < len(x) and x[i] == k
+            if aside:  # a set stands in a token's list if the token is found in the set
+                at = np.searchsorted(own, long)
+                at[at == len(own)] = 0
+                n += int(np.count_nonzero(own[at] == long))
             if n >= need:
-                found.append((k, n))
-        return found
+                yield k, n
 
 
 class Sets:
@@ -283,15 +289,14 @@ def cluster(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
     joined, index, leaders, leader = Sets(len(sets)), Inverted(), [], [0] * len(sets)
     for i in order:
-        tokens = sets[i].tolist()
-        found = index.search(tokens, percent)
-        for k, _ in found:
+        best = None
+        apart = lambda k: best is None or joined.find(leaders[k]) != joined.find(i)  # noqa: B023, E731
+        for k, _ in index.search(sets[i], percent, apart):
             joined.join(i, leaders[k])
-        if found:
-            leader[i] = leaders[max(found, key=lambda f: (f[1] / (len(tokens) + index.sizes[f[0]]), -f[0]))[0]]
-        else:
-            leader[i] = i
-            index.add(tokens)
+            best = leaders[k] if best is None else best
+        leader[i] = i if best is None else best
+        if best is None:
+            index.add(sets[i])
             leaders.append(i)
     if len(leaders) < len(sets) and len({joined.find(p) for p in leaders}) > 1:
         _link_followers(sets, percent, joined, index, leaders, leader)
@@ -304,10 +309,9 @@ def _link_followers(sets, percent, joined, index, leaders, leader) -> None:
     for i, p in enumerate(leader):
         group.setdefault(p, []).append(i)
     for k, p in enumerate(leaders):
-        for other, _ in index.search(sets[p].tolist(), max(1, 100 - 3 * (100 - percent))):
+        apart = lambda other: other < k and joined.find(leaders[other]) != joined.find(p) and len(group[p]) + len(group[leaders[other]]) > 2  # noqa: B023, E731
+        for other, _ in index.search(sets[p], max(1, 100 - 3 * (100 - percent)), apart):
             q = leaders[other]
-            if other >= k or joined.find(p) == joined.find(q) or len(group[p]) + len(group[q]) == 2:
-                continue
             ys = [y for y in group[q] if _near(sets[y], sets[p], 2 * far)]
             for x in group[p] if ys else ():
                 if not _near(sets[x], sets[q], 2 * far):
@@ -385,14 +389,14 @@ def _pair_blocks(rows: DataFrame, percent: int, far: int, limit: int) -> DataFra
         for _, rows in _groups(batches, keys, ["_side", "_id", "_set"]):
             index, ids, out = Inverted(), [], []
             for side, i, s in rows:  # side 0 comes first
-                tokens = np.frombuffer(s, np.uint64)
+                own = np.frombuffer(s, np.uint64)
                 if side == 0:
-                    index.add(tokens.tolist())
+                    index.add(own)
                     ids.append(i)
                     continue
-                for k, n in index.search(tokens.tolist(), far):
+                for k, n in index.search(own, far):
                     if ids[k] != i:
-                        out.append((ids[k], i, n >= _need(len(tokens), index.sizes[k], percent) and 100 * n >= percent * (len(tokens) + index.sizes[k] - n)))
+                        out.append((ids[k], i, n >= _need(len(own), len(index.sets[k]), percent)))
             if out:
                 u, v, linked = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])

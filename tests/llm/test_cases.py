@@ -176,11 +176,13 @@ def test_divide_skip_finds_all():
         base = sets[-1] if sets and random.random() < 0.6 else random.sample(range(300), 40)
         s = sorted(set(base) - {random.choice(list(base))} | {random.randrange(300)})
         sets.append(s)
-        index.add(s)
+        index.add(np.array(s, np.uint64))
     for percent in (90, 60, 30):
         for s in sets[:40]:
             want = [(k, len(set(s) & set(o))) for k, o in enumerate(sets) if 100 * len(set(s) & set(o)) >= percent * len(set(s) | set(o))]
-            assert sorted(index.search(s, percent)) == want
+            assert sorted(index.search(np.array(s, np.uint64), percent)) == want
+            odd_ones = sorted(index.search(np.array(s, np.uint64), percent, lambda k: k % 2))
+            assert odd_ones == [x for x in want if x[0] % 2]
 
 
 def test_near_dedup_keeps_one(docs):
