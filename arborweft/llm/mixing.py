@@ -85,21 +85,24 @@ def word_count(text):
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), block_words: int = 128, most: int = 3, rows_per_shard: int = 20_000, seed: int = 20
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), block_words: int = 128, most: int = 3, rows_per_shard: int = 2_000, seed: int = 20
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, whole: ``taken`` words of the document go into the mix, ``whole`` is how
     often a mix of undivided documents takes it (a run takes a document that starts in it)."""
-    shards = max(1, -(-docs.count() // rows_per_shard))
     narrow = docs.select(
         "doc_id",
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("_src"),
         word_count(F.col("text")).alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int").alias("_shard"),
+        F.xxhash64(F.lit(seed), "doc_id").alias("_shard"),
         F.xxhash64(F.lit(seed + 1), "doc_id").alias("_h"),
     )
     narrow = materialise(narrow, "mix-sizes")
+    sources = narrow.groupBy("_src").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
+    found = {r["_src"]: r["n"] for r in sources}
+    # a source gets shards by its rows, so a large one is spread as evenly as all others together
+    shards = docs.sparkSession.createDataFrame([(r["_src"], -(-r["rows"] // rows_per_shard)) for r in sources], "_src string, _shards long")
+    narrow = narrow.join(F.broadcast(shards), "_src").withColumn("_shard", F.pmod("_shard", "_shards").cast("int")).drop("_shards")
     cells = narrow.groupBy("_src", "_shard").agg(F.sum("size").alias("_cell"))
-    found = {r["_src"]: r["n"] for r in cells.groupBy("_src").agg(F.sum("_cell").alias("n")).collect()}
     names = sorted(found, key=lambda s: (s[0] == "n", s))  # code points, null last
     sizes = [found[s] for s in names]
     targets = share_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], most)
