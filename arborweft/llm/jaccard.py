@@ -154,7 +154,7 @@ def _near_pairs(nodes: DataFrame, percent: int, few: int = 32) -> DataFrame:
     documents become a chain in order of size, cut where sizes are too far apart."""
     rows = nodes.select("_id", "n_shingles", F.posexplode("_rare").alias("p", "t"))
     met = rows.groupBy("t").agg(F.array_sort(F.collect_set(F.struct(F.col("n_shingles").alias("a"), F.col("p"), F.col("_id").alias("i")))).alias("r"))
-    met = met.where(F.size("r") > 1)
+    met = materialise(met.where(F.size("r") > 1), "shared-grams")
     close = lambda x, y: x["a"] * 100 >= y["a"] * percent
 
     def together(x, y):
