@@ -13,6 +13,37 @@ def _escaped(x: str) -> str:
     return out
 
 
+OP3 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(array_slice(b, i, i + 199)) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
+s AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+k AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM s),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM k),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, sum(z - a + 1) AS gone, count(*) AS spans FROM r GROUP BY doc_id),
+cuts AS (
+  SELECT doc_id, 1 + coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a - 1 AS l FROM r
+  UNION ALL SELECT d.doc_id, coalesce(max(z), 0) + 1, any_value(n) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(hex(b), CAST(2 * f - 1 AS BIGINT), CAST(2 * greatest(0, l - f + 1) AS BIGINT)), '' ORDER BY f) AS x FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(x)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) JOIN kept USING (doc_id)
+"""
+
+OP4 = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE
+    WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t)),
+n AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.c + b.c - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS s, doc_id AS z FROM t UNION SELECT r.s, e.y FROM r JOIN e ON e.x = r.z)
+SELECT t.doc_id, coalesce(any_value(n.c), 0) AS n_shingles, min(r.z) AS component_id FROM t JOIN r ON r.s = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
 OP6 = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
@@ -74,4 +105,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6, "op7_warc": OP7, "op8_chat_format": OP8, "op10_quality_rules": OP10}
+    return {"op3_suffix_array_dedup": OP3, "op4_ngram_jaccard_join": OP4, "op6_line_dedup": OP6, "op7_warc": OP7, "op8_chat_format": OP8, "op10_quality_rules": OP10}
