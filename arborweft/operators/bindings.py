@@ -215,6 +215,18 @@ def _(s, d):
     return paths.reachable(paths.reverse(e), last, 4).groupBy(F.col("start").alias("target")).agg(F.count_distinct("id").alias("callers"))
 
 
+@op(
+    "callers_transitive_all",
+    f", {_LASTS}, p AS (SELECT l.dst AS target, c.src AS caller FROM lasts l JOIN calls c ON c.dst = l.dst UNION ALL SELECT target, c.src FROM p JOIN calls c ON c.dst = p.caller) SELECT target, count(DISTINCT caller) AS callers FROM p GROUP BY target",
+    recursive=True,
+)
+def _(s, d):
+    # CALLS* without a bound; callers_transitive is the same question within 4 hops
+    e = gedges(s, d, "CALLS")
+    last = e.select(F.col("dst").alias("id")).join(e.select(F.col("src").alias("id")), "id", "left_anti").distinct()
+    return paths.reachable(paths.reverse(e), last).groupBy(F.col("start").alias("target")).agg(F.count_distinct("id").alias("callers"))
+
+
 @op(
     "impact_count",
     ", p AS (SELECT src AS start, dst, 1 AS depth FROM contains_ WHERE src LIKE 'nation::%' UNION ALL SELECT start, c.dst, depth + 1 FROM p JOIN contains_ c ON c.src = p.dst) SELECT start, count(DISTINCT dst) AS reached FROM p GROUP BY start",
