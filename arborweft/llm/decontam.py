@@ -6,6 +6,10 @@ those lie in a band of diagonals k wide. So every document's q-grams are looked
 segment are counted in bands that overlap by half, and only regions that reach the lemma's bound are aligned, in a band,
 for the exact number of edits. Documents are read once, in place; nothing is exchanged.
 
+Items are searched as a whole or by segments of 128 bytes, then, where a document has no match of an item, by parts of 64 bytes that begin
+every 16 bytes, under the same rate of edits. So of items above 64 bytes every verbatim part of 69 normalised bytes or more is found: at most
+5 bytes of some part stick out of it. Items up to 64 bytes are found as a whole, within the rate.
+
 The benchmark is the query set: it is broadcast in blocks of at most ``block_bytes``, one pass over the documents each.
 
 Defined cases: null or empty texts match nothing; items without q bytes after normalising are no queries; repeated rows give
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from arborweft.llm.common import bound_arrow, mix64, slices, text_bytes
 
 Q, SEGMENT, STRIDE, BAND = 10, 128, 64, 16
+PART, STEP = 64, 16
 FOUND = "doc_id long, item_id long, start_byte long, end_byte long, edits int"
 
 
@@ -62,7 +67,7 @@ def _grams(b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Segments of the benchmark and the postings of their q-grams."""
+    """Segments of the benchmark and the postings of their q-grams; from number ``parts`` on they are the short ones."""
 
     keys: np.ndarray
     starts: np.ndarray
@@ -73,10 +78,11 @@ class Index:
     item: list[int]
     edits: np.ndarray
     bound: np.ndarray
+    parts: int
 
 
 def build_index(items: list[tuple[int, str | None]], rate: float) -> Index:
-    texts, owner = [], []
+    texts, owner, parts, part_owner = [], [], [], []
     for number, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         b = _normal(raw, np.array([0, len(raw)]))[0] if len(raw) else raw
@@ -90,6 +96,12 @@ def build_index(items: list[tuple[int, str | None]], rate: float) -> Index:
         for s, e in cuts:
             texts.append(b[s:e])
             owner.append(number)
+        if len(b) > PART:
+            for s in [*range(0, len(b) - PART, STEP), len(b) - PART]:
+                parts.append(b[s : s + PART])
+                part_owner.append(number)
+    first = len(texts)
+    texts, owner = texts + parts, owner + part_owner
     m = np.array([len(t) for t in texts], np.int64)
     k = np.maximum(0, np.minimum((m * rate).astype(np.int64), (m + 1 - Q // 2) // Q - 1)) if len(m) else m
     grams = [_grams(t) for t in texts]
@@ -100,11 +112,12 @@ def build_index(items: list[tuple[int, str | None]], rate: float) -> Index:
     keys, starts = np.unique(flat[order], return_index=True)
     bits = np.zeros(1 << 20, bool)
     bits[keys >> np.uint64(44)] = True
-    return Index(keys, np.append(starts, len(flat)), seg[order], place[order], bits, texts, owner, k, m + 1 - Q * (k + 1))
+    return Index(keys, np.append(starts, len(flat)), seg[order], place[order], bits, texts, owner, k, m + 1 - Q * (k + 1), first)
 
 
-def _align(ix: Index, seg: np.ndarray, begin: np.ndarray, text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edits, start and end (in text) of the best banded alignment of each segment with text[begin:], free at both ends."""
+def _align(ix: Index, seg: np.ndarray, begin: np.ndarray, text: np.ndarray, least: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edits, start and end (in text) of the best banded alignment of each segment with text[begin:], free at both ends;
+    what lies outside least..stop equals nothing."""
     width = 2 * BAND + 2 * int(ix.edits[seg].max()) + 1
     lengths = np.array([len(ix.text[s]) for s in seg])
     longest = int(lengths.max())
@@ -112,7 +125,7 @@ def _align(ix: Index, seg: np.ndarray, begin: np.ndarray, text: np.ndarray, stop
     for r, s in enumerate(seg):
         query[r, : lengths[r]] = ix.text[s]
     span = begin[:, None] + np.arange(longest + width)[None, :]
-    inside = (span >= 0) & (span < stop[:, None])
+    inside = (span >= least[:, None]) & (span < stop[:, None])
     window = np.where(inside, text[np.clip(span, 0, max(0, len(text) - 1))], 0)
     step = 1 << 20  # value: edits * step + start
     along = np.arange(width, dtype=np.int64) * step
@@ -156,12 +169,22 @@ def _search(ix: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     which = (bands >> 32) % n
     full = counts >= ix.bound[which]
     bands, which = bands[full], which[full]
-    out = []
+    short = which >= ix.parts
+    out = _matches(ix, bands[~short], which[~short], b, at, rows)
+    bands, which = bands[short], which[short]
+    have = {(r, item) for r, item, *_ in out}
+    new = np.array([(int(r), ix.item[s]) not in have for r, s in zip((bands >> 32) // n, which, strict=True)], bool)
+    return out + _matches(ix, bands[new], which[new], b, at, rows)
+
+
+def _matches(ix: Index, bands: np.ndarray, which: np.ndarray, b: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """What of the regions that reach the bound is within the edits of its segment."""
+    out, n = [], len(ix.text)
     for k in range(0, len(bands), 256):
         s, own = which[k : k + 256], (bands[k : k + 256] >> 32) // n
         begin = (bands[k : k + 256] & 0xFFFFFFFF) * BAND - (SEGMENT + STRIDE) - ix.edits[s] + rows[own]
-        begin = np.maximum(begin, rows[own])
-        edits, start, end = _align(ix, s, begin, b, rows[own + 1])
+        edits, start, end = _align(ix, s, begin, b, rows[own], rows[own + 1])
+        start = np.maximum(start, rows[own])
         for r in np.flatnonzero(edits <= ix.edits[s]):
             end_at = min(int(end[r]), int(rows[own[r] + 1]))
             out.append((int(own[r]), ix.item[s[r]], int(at[min(start[r], len(at) - 1)]), int(at[max(0, end_at - 1)]) + 1, int(edits[r])))
@@ -185,7 +208,7 @@ def _blocks(benchmark: DataFrame, rate: float, block_bytes: int):
     spark = benchmark.sparkSession
     bound_arrow(spark)
     sized = benchmark.select("item_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    blocks = max(1, -(-(sized.agg(F.sum("n")).collect()[0][0] or 0) // block_bytes))
+    blocks = max(1, -(-3 * (sized.agg(F.sum("n")).collect()[0][0] or 0) // block_bytes))  # parts make three times the q-grams of segments alone
     for k in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()
         yield spark.sparkContext.broadcast(build_index(sorted(tuple(r) for r in rows if r[0] is not None), rate))
