@@ -19,12 +19,12 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def expand(edges: DataFrame, seeds: DataFrame, least: int = 1, most: int | None = None, nodes: bool = True, cap: int = 64, every: int = 6) -> DataFrame:
     """start, end, depth, edge_ids and, if asked, node_ids of all trails of least..most hops from seeds (id). Without a bound, until
-    no trail goes on. Lineage is cut every few hops."""
+    no trail goes on; trails longer than cap are refused, never left out. Lineage is cut every few hops."""
     hop = edges.select(F.col("src").alias("end"), F.col("dst").alias("_to"), F.col("edge_id").alias("_e"))
     first = seeds.select(F.col("id").alias("start"), F.col("id").alias("end"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("edge_ids"), F.array("id").alias("node_ids"))
     frontier, out = first, first if least == 0 else None
-    depth, bound = 0, cap if most is None else most
-    while depth < bound:
+    depth = 0
+    while most is None or depth < most:
         depth += 1
         step = frontier.join(hop, "end").where(~F.array_contains("edge_ids", F.col("_e")) if depth > 1 else F.lit(True))
         frontier = step.select("start", F.col("_to").alias("end"), F.lit(depth).alias("depth"), F.concat("edge_ids", F.array("_e")).alias("edge_ids"), F.concat("node_ids", F.array("_to")).alias("node_ids"))
@@ -32,6 +32,8 @@ def expand(edges: DataFrame, seeds: DataFrame, least: int = 1, most: int | None
             frontier = cut(frontier)
             if most is None and frontier.isEmpty():
                 break
+            if most is None and depth > cap:
+                raise ValueError(f"trails of more than {cap} hops; give an upper bound or a larger cap")
         if depth >= least:
             out = frontier if out is None else out.unionByName(frontier)
     out = out if out is not None else first.where("false")

@@ -68,7 +68,7 @@ class Planner:
 
     def step(self, clause, following) -> None:
         if isinstance(clause, Match):
-            distinct_ends = isinstance(following, Project) and (following.distinct or self._min_only(following)) and following.where is None
+            distinct_ends = isinstance(following, Project) and (following.distinct or self._min_only(following) or self._ends_only(following)) and following.where is None
             if clause.optional:
                 self.optional(clause, distinct_ends, following)
             else:
@@ -93,6 +93,12 @@ class Planner:
         calls = [x for e, _ in p.items for x in _walk(e) if isinstance(x, tuple) and x and x[0] == "call" and x[1] in AGGREGATES]
         return bool(calls) and all(c[1] == "min" and c[2] and c[2][0][:2] == ("call", "length") for c in calls)
 
+    @staticmethod
+    def _ends_only(p: Project) -> bool:
+        """Whether aggregates are all that p does with rows, and repeated rows change none of them."""
+        calls = [x for e, _ in p.items for x in _walk(e) if isinstance(x, tuple) and x and x[0] == "call" and x[1] in AGGREGATES]
+        return bool(calls) and all(c[1] in ("min", "max") or (c[1] in ("count", "collect") and c[3]) for c in calls)
+
     # patterns
     def scan(self, node: NodeP, where: tuple | None = None) -> DataFrame:
         out = self.g.nodes
@@ -494,5 +500,5 @@ class Planner:
 
 
 def cypher(graph: Graph, text: str, params: dict | None = None, cap: int = 64) -> DataFrame:
-    """The rows of a query of the subset. cap bounds unbounded trails; distinct ends need none."""
+    """The rows of a query of the subset. Unbounded trails of more than cap hops are an error; distinct ends need no cap."""
     return Planner(graph, params, cap).run(parse(text))
