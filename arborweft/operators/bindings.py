@@ -375,9 +375,13 @@ def _(s, d):
 _FUNCTIONS = "f AS (SELECT 'f' || (o_orderkey % 7) || '::pkg::T' || (o_custkey % 11) || '::function:m' || (o_orderkey % 13) AS id, 'm' || (o_orderkey % 13) AS name, 'f' || (o_orderkey % 7) AS file FROM orders WHERE o_orderkey % 5 = 0)"
 
 
-def _functions(s, d):
+_SOME = " WHERE o_orderkey % 5 = 0"
+
+
+def _functions(s, d, whole: bool = False):
     n = lambda c, k: (F.col(c) % k).cast("string")
-    o = table(s, d, "orders").where(F.col("o_orderkey") % 5 == 0)
+    o = table(s, d, "orders")
+    o = o if whole else o.where(F.col("o_orderkey") % 5 == 0)
     file, name = F.concat(F.lit("f"), n("o_orderkey", 7)), F.concat(F.lit("m"), n("o_orderkey", 13))
     return o.select(F.concat(file, F.lit("::pkg::T"), n("o_custkey", 11), F.lit("::function:"), name).alias("id"), name.alias("name"), file.alias("file"))
 
@@ -389,11 +393,16 @@ def _functions(s, d):
     r AS (SELECT method_name, object_type, min(id) AS target_id FROM u JOIN df ON name = method_name AND contains(id, '::' || object_type || '::') GROUP BY ALL)
     SELECT k, method_name, object_type, target_id FROM c LEFT JOIN r USING (method_name, object_type)""",
 )
-def _(s, d):
+def _(s, d, whole=False):
     n = lambda c, k: (F.col(c) % k).cast("string")
     kind = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "pkg::").otherwise(""), F.lit("T"), n("o_custkey", 14))
     calls = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("m"), n("o_orderkey", 17)).alias("method_name"), kind.alias("object_type"))
-    return resolve.resolve_typed_calls(calls, _functions(s, d)).select("k", "method_name", "object_type", "target_id")
+    return resolve.resolve_typed_calls(calls, _functions(s, d, whole)).select("k", "method_name", "object_type", "target_id")
+
+
+@op("resolve_typed_call_all", ORACLE["resolve_typed_call"].replace(_SOME, ""), graph=False)
+def _(s, d):
+    return QUERIES["resolve_typed_call"](s, d, True)
 
 
 @op(
@@ -402,10 +411,15 @@ def _(s, d):
     h AS (SELECT name, file, min(id) AS x FROM f GROUP BY ALL), o AS (SELECT name, min(id) AS y FROM f GROUP BY name HAVING count(*) = 1)
     SELECT k, method_name, c.file, coalesce(x, y) AS target_id FROM c LEFT JOIN h ON h.name = method_name AND h.file = c.file LEFT JOIN o ON o.name = method_name""",
 )
-def _(s, d):
+def _(s, d, whole=False):
     n = lambda c, k: (F.col(c) % k).cast("string")
     calls = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("m"), n("o_orderkey", 17)).alias("method_name"), F.concat(F.lit("f"), n("o_custkey", 9)).alias("file"))
-    return resolve.resolve_untyped_calls(calls, _functions(s, d)).select("k", "method_name", "file", "target_id")
+    return resolve.resolve_untyped_calls(calls, _functions(s, d, whole)).select("k", "method_name", "file", "target_id")
+
+
+@op("resolve_untyped_call_all", ORACLE["resolve_untyped_call"].replace(_SOME, ""), graph=False)
+def _(s, d):
+    return QUERIES["resolve_untyped_call"](s, d, True)
 
 
 @op(
@@ -650,6 +664,18 @@ def _(s, d):
     return merge.put_metadata(nodes, values, "url-pattern").select("id", F.col("metadata")["url-pattern"].alias("value"))
 
 
+@op(
+    "metadata_update_all",
+    ", v AS (SELECT CASE WHEN c_nationkey % 5 = 0 THEN 'lost::' ELSE 'nation::' END || c_nationkey AS id, count(*) AS n FROM customer GROUP BY 1) SELECT gnodes.id, coalesce('n' || CAST(v.n AS VARCHAR), 'old') AS value FROM gnodes LEFT JOIN v USING (id) WHERE kind = 'Module'",
+)
+def _(s, d):
+    # every customer counts; nodes stay as they are where the values have another name
+    nodes = gnodes(s, d).where("kind = 'Module'").withColumn("metadata", F.create_map(F.lit("url-pattern"), F.lit("old"), F.lit("type"), F.lit("x")))
+    prefix = F.when(F.col("c_nationkey") % 5 == 0, "lost::").otherwise("nation::")
+    values = table(s, d, "customer").groupBy(F.concat(prefix, F.col("c_nationkey").cast("string")).alias("id")).agg(F.concat(F.lit("n"), F.count("*").cast("string")).alias("value"))
+    return merge.put_metadata(nodes, values, "url-pattern").select("id", F.col("metadata")["url-pattern"].alias("value"))
+
+
 @op(
     "node_view",
     "SELECT id, kind AS node_type, 'unknown' AS language, coalesce(grp, '') AS package, 'Node,' || kind AS labels FROM gnodes WHERE kind IN ('Module', 'Class', 'Package')",
