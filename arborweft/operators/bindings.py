@@ -133,6 +133,17 @@ def _(s, d):
     return paths.leaves(gnodes(s, d).where("kind = 'Function'").select("id"), gedges(s, d, "CALLS"))
 
 
+@op(
+    "leaf_nodes_reachable",
+    ", p AS (SELECT dst FROM calls WHERE src NOT IN (SELECT dst FROM calls) UNION SELECT c.dst FROM p JOIN calls c ON c.src = p.dst) SELECT dst AS id FROM p WHERE dst NOT IN (SELECT src FROM calls)",
+    recursive=True,
+)
+def _(s, d):
+    e = gedges(s, d, "CALLS")
+    first = e.select(F.col("src").alias("id")).join(e.select(F.col("dst").alias("id")), "id", "left_anti").distinct()
+    return paths.leaves(paths.reachable(e, first, per_start=False).select("id").distinct(), e)
+
+
 @op("out_degree", "SELECT id, count(c.src) AS degree FROM gnodes o LEFT JOIN calls c ON c.src = o.id WHERE kind = 'Function' GROUP BY id")
 def _(s, d):
     return paths.degrees(gnodes(s, d).where("kind = 'Function'"), gedges(s, d, "CALLS"))
