@@ -10,10 +10,13 @@ Items are searched as a whole or by segments of 128 bytes, then, where a documen
 every 16 bytes, under the same rate of edits. So of items above 64 bytes every verbatim part of 69 normalised bytes or more is found: at most
 5 bytes of some part stick out of it. Items up to 64 bytes are found as a whole, within the rate.
 
-The benchmark is the query set: it is broadcast in blocks of at most ``block_bytes``, one pass over the documents each.
+The benchmark is the query set: it is broadcast in blocks, one pass over the documents each. Parts and segments together are some six
+times a block's texts, so a block is cut to a third of ``block_bytes``: at 4 MB an index has about 8 million q-grams, 160 MB.
 
-Defined cases: null or empty texts match nothing; items without q bytes after normalising are no queries; repeated rows give
-a result row each; an empty benchmark leaves everything clean; columns of the documents other than these two are kept by ``decontaminate``.
+Defined cases: null or empty texts match nothing; very long texts are searched whole; items without id, or without q bytes after normalising,
+are no queries; of a tie between matches of an item the first in the text is reported; repeated rows give a result row each, whatever their
+doc_id; an empty benchmark leaves everything clean; columns of the documents other than these two are ignored by ``find_leaks`` and kept
+by ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from arborweft.llm.common import bound_arrow, mix64, slices, text_bytes
 
 Q, SEGMENT, STRIDE, BAND = 10, 128, 64, 16
 PART, STEP = 64, 16
+POSTINGS = 1 << 22
 FOUND = "doc_id long, item_id long, start_byte long, end_byte long, edits int"
 
 
@@ -106,13 +110,13 @@ def build_index(items: list[tuple[int, str | None]], rate: float) -> Index:
     k = np.maximum(0, np.minimum((m * rate).astype(np.int64), (m + 1 - Q // 2) // Q - 1)) if len(m) else m
     grams = [_grams(t) for t in texts]
     flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-    seg = np.repeat(np.arange(len(texts)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-    place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+    seg = np.repeat(np.arange(len(texts), dtype=np.int32), [len(g) for g in grams]) if grams else np.zeros(0, np.int32)
+    place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
     order = np.argsort(flat, kind="stable")
     keys, starts = np.unique(flat[order], return_index=True)
     bits = np.zeros(1 << 20, bool)
     bits[keys >> np.uint64(44)] = True
-    return Index(keys, np.append(starts, len(flat)), seg[order], place[order], bits, texts, owner, k, m + 1 - Q * (k + 1), first)
+    return Index(keys, np.append(starts, len(flat)).astype(np.int32), seg[order], place[order], bits, texts, owner, k, m + 1 - Q * (k + 1), first)
 
 
 def _align(ix: Index, seg: np.ndarray, begin: np.ndarray, text: np.ndarray, least: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,31 +162,47 @@ def _search(ix: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     row = np.searchsorted(rows, hit, "right") - 1
     real = hit + Q <= rows[row + 1]
     hit, j, row = hit[real], j[real], row[real]
+    # rows are counted in groups of about so many postings, as common q-grams of a large benchmark have many
+    last = np.searchsorted(row, np.arange(len(rows) - 1), "right")
+    done = np.append(0, np.cumsum(ix.starts[j + 1] - ix.starts[j], dtype=np.int64))[last]
+    found, first = [], 0
+    while first < len(done):
+        before = done[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(done, before + POSTINGS, "right")))
+        part = slice(int(last[first - 1]) if first else 0, int(last[stop - 1]))
+        found.append(_full_bands(ix, hit[part], j[part], row[part], rows))
+        first = stop
+    bands, own, which = (np.concatenate(x) for x in zip(*found, strict=True))
+    short = which >= ix.parts
+    out = _matches(ix, bands[~short], own[~short], which[~short], b, at, rows)
+    bands, own, which = bands[short], own[short], which[short]
+    have = {(r, item) for r, item, *_ in out}
+    new = np.array([(int(r), ix.item[s]) not in have for r, s in zip(own, which, strict=True)], bool)
+    return out + _matches(ix, bands[new], own[new], which[new], b, at, rows)
+
+
+def _full_bands(ix: Index, hit: np.ndarray, j: np.ndarray, row: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band, row and segment of the regions with as many shared q-grams as the lemma asks for."""
     many = ix.starts[j + 1] - ix.starts[j]
     again = np.repeat(np.arange(len(hit)), many)
-    post = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many) + ix.starts[j][again]
+    post = np.arange(len(again)) - np.repeat(np.cumsum(many, dtype=np.int64) - many, many) + ix.starts[j][again]
     seg = ix.segment[post]
     diagonal = hit[again] - rows[row[again]] - ix.place[post] + (SEGMENT + STRIDE)
-    n = len(ix.text)
-    band = ((row[again] * n + seg) << 32) + diagonal // BAND
+    # numbers of the (row, segment) pairs that meet: fewer than hits, so a number and a band always fit into 64 bits
+    pairs, pair = np.unique(row[again] * len(ix.text) + seg, return_inverse=True)
+    band = (pair.astype(np.int64) << 32) + diagonal // BAND
     bands, counts = np.unique(np.concatenate([band, band - 1]), return_counts=True)
-    which = (bands >> 32) % n
+    own, which = np.divmod(pairs[bands >> 32], len(ix.text))
     full = counts >= ix.bound[which]
-    bands, which = bands[full], which[full]
-    short = which >= ix.parts
-    out = _matches(ix, bands[~short], which[~short], b, at, rows)
-    bands, which = bands[short], which[short]
-    have = {(r, item) for r, item, *_ in out}
-    new = np.array([(int(r), ix.item[s]) not in have for r, s in zip((bands >> 32) // n, which, strict=True)], bool)
-    return out + _matches(ix, bands[new], which[new], b, at, rows)
+    return (bands & 0xFFFFFFFF)[full], own[full], which[full]
 
 
-def _matches(ix: Index, bands: np.ndarray, which: np.ndarray, b: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+def _matches(ix: Index, bands: np.ndarray, rows_of: np.ndarray, which: np.ndarray, b: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """What of the regions that reach the bound is within the edits of its segment."""
-    out, n = [], len(ix.text)
+    out = []
     for k in range(0, len(bands), 256):
-        s, own = which[k : k + 256], (bands[k : k + 256] >> 32) // n
-        begin = (bands[k : k + 256] & 0xFFFFFFFF) * BAND - (SEGMENT + STRIDE) - ix.edits[s] + rows[own]
+        s, own = which[k : k + 256], rows_of[k : k + 256]
+        begin = bands[k : k + 256] * BAND - (SEGMENT + STRIDE) - ix.edits[s] + rows[own]
         edits, start, end = _align(ix, s, begin, b, rows[own], rows[own + 1])
         start = np.maximum(start, rows[own])
         for r in np.flatnonzero(edits <= ix.edits[s]):
@@ -214,7 +234,7 @@ def _blocks(benchmark: DataFrame, rate: float, block_bytes: int):
         yield spark.sparkContext.broadcast(build_index(sorted(tuple(r) for r in rows if r[0] is not None), rate))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.09, block_bytes: int = 16 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.09, block_bytes: int = 4 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, item_id, start_byte, end_byte, edits: the best match of every item a document holds a segment of."""
 
     def of(shared):
@@ -235,7 +255,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.09, block_
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.09, block_bytes: int = 16 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.09, block_bytes: int = 4 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
     """The documents that hold no segment of any item, all columns as they were."""
     for shared in _blocks(benchmark, rate, block_bytes):
 

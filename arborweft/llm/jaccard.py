@@ -6,28 +6,32 @@ order of rising frequency, two linked documents share one of their first a - t a
 short lists) bring documents together, and the rest are only probed. Frequencies come from a sketch over all documents, of fixed
 size; they order n-grams, and never decide a link.
 
-1. sketch: documents for each bucket of n-gram hashes, added up in two levels.
+1. sketch: documents for each bucket of n-gram hashes, added up in levels of 64; its size follows the bytes of all texts, and the
+   mean count, which is what chance alone puts into a bucket, is taken off.
 2. features: size, digest and rare prefix of each document; equal digests are one class.
 3. documents that share a prefix n-gram, and that their sizes, the places of that n-gram and parity bitmaps of their sets leave
    a chance, are candidates; their components are found by contraction.
-4. each component is searched in one place (huge ones in chunks): short inverted lists are merged by heap, long ones probed by
-   binary search, and documents that reach T are linked. A document linked to a leader is not indexed itself. Links between two
+4. each component, pairs too, is searched in one place (huge ones in chunks): short inverted lists are merged by heap, long ones
+   probed by binary search, and documents that reach T are linked. A document linked to a leader is not indexed itself. Links between two
    leaders' followers are bounded by the triangle inequality of the Jaccard distance, and only pairs of leaders near
    enough for one have their followers compared. So a group of n near copies costs about n searches, and no link is lost.
 5. chunks of one component meet by their leaders, then by followers of near leaders, in blocks of bounded size.
 
 Defined cases: white space is \\x20\\x09-\\x0D; null or empty texts have no set and link with nothing; fewer words than n are one n-gram;
-rows of equal doc_id are one node, and a null doc_id is a node of its own; an empty table gives no rows; hashes are compared in place of
-n-grams.
+rows of equal doc_id are one node; rows without doc_id are nodes by their text (128-bit hash), link like others and never name a component: a
+component of such rows alone has a null id; an empty table gives no rows; very long texts are sets like others; other columns, whatever their
+names, are ignored by ``jaccard_components`` and kept by ``near_dedup``; hashes are compared in place of n-grams.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
+import random
 import zlib
-from collections import Counter
-from itertools import chain, groupby
+from bisect import bisect_left
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -36,9 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborweft.llm.common import Powers, bound_arrow, join_sized, materialise, mix64, prefix_sums, range_hash, slices, text_bytes
+from arborweft.llm.common import Powers, bound_arrow, join_sized, materialise, mix64, prefix_sums, range_hash, slices, text_bytes, trimmed
 
-NONE = -(1 << 63)
 #: How many of the longest lists are set aside: T / (MU log2(longest) + 1), the published rule and constant.
 MU = 0.0085
 CHUNKS = 64
@@ -82,8 +85,14 @@ def _combine(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(total + np.uint64(k))
 
 
+def sketch_bits(text_bytes: int, least: int = 22, most: int = 26) -> int:
+    """Buckets of the sketch, as a power of two: one for 64 n-grams of a corpus of so many bytes. The least is enough for 2.7e8 n-grams;
+    the most keeps a worker's table at 256 MB, and beyond it counts get coarser, never wrong."""
+    return min(most, max(least, (text_bytes // 6 // 64).bit_length()))
+
+
 def _sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
-    """How many documents have an n-gram in each of 2**bits buckets, at most 65535."""
+    """How many documents have an n-gram in each of 2**bits buckets beyond the mean bucket, at most 65535."""
     part, fan = (1 << bits) // CHUNKS, 64
 
     def count(batches):
@@ -100,17 +109,38 @@ def _sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([task]), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["c", "task", "piece"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(part, np.uint32)
+        total = np.zeros(part, np.uint64)
         for x in group["piece"]:
             total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"c": [int(group["c"].iloc[0])], "task": [0], "piece": [zlib.compress(total.tobytes(), 1)]})
+        total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return pd.DataFrame({"c": [int(group["c"].iloc[0])], "task": [int(group["task"].iloc[0]) // fan], "piece": [zlib.compress(total.tobytes(), 1)]})
 
     kind = "c long, task long, piece binary"
-    level = docs.select("text").mapInArrow(count, kind).groupBy("c", "task").applyInPandas(add, kind)
-    table = np.zeros(1 << bits, np.uint16)
+    level = docs.select("text").mapInArrow(count, kind)
+    for _ in range(3):  # a group adds up 64 pieces; 64**4 tasks are 16 million
+        level = level.groupBy("c", "task").applyInPandas(add, kind)
+    table = np.zeros(1 << bits, np.uint32)
     for r in level.groupBy("c").applyInPandas(add, kind).collect():  # 2**bits counters, whatever the input
-        table[r["c"] * part : (r["c"] + 1) * part] = np.minimum(np.frombuffer(zlib.decompress(r["piece"]), np.uint32), 65535)
-    return table
+        table[r["c"] * part : (r["c"] + 1) * part] = np.frombuffer(zlib.decompress(r["piece"]), np.uint32)
+    return np.minimum(table - np.minimum(table, np.uint32(table.mean())), 65535).astype(np.uint16)
+
+
+def number_rows(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, object, int]:
+    """docs as _id, text and the columns of keep, a function that gives a node's doc_id, and the bytes of all texts. A row without doc_id
+    gets the number of its text, from a stretch of numbers that no doc_id lies in."""
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", *keep)
+    known = own.agg(F.count("*").alias("n"), F.count("_id").alias("ids"), F.max("_id").alias("top"), F.sum(F.octet_length("text")).alias("size")).collect()[0]
+    if known["n"] == known["ids"]:
+        return own, lambda c: c, known["size"] or 0
+    text = F.coalesce("text", F.lit(""))
+    hashed = own.where("_id IS NULL").select("*", F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(7), text).alias("_h2"))
+    numbers = materialise(hashed.select("_h1", "_h2").distinct().select("_h1", "_h2", F.monotonically_increasing_id().alias("_number")), "numbers")
+    width = (numbers.agg(F.max("_number")).collect()[0][0] or 0) + 1
+    base, chance = (known["top"] if known["top"] is not None else 0) + 1, random.Random(5)
+    while base + width >= 1 << 63 or not docs.where(F.col("doc_id").between(base, base + width)).isEmpty():
+        base = chance.randrange(-(1 << 63), (1 << 63) - width)
+    named = join_sized(hashed, numbers, ["_h1", "_h2"], "inner", 32).select((F.col("_number") + base).alias("_id"), "text", *keep)
+    return own.where("_id IS NOT NULL").unionByName(named), lambda c: F.when(~c.between(base, base + width), c), known["size"] or 0
 
 
 def _features(docs: DataFrame, n: int, percent: int, bits: int, hot: int) -> DataFrame:
@@ -137,7 +167,7 @@ def _features(docs: DataFrame, n: int, percent: int, bits: int, hot: int) -> Dat
             made = [pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits_of, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("_id"), *made], names=["_id", "n_shingles", "_digest", "_bits", "_rare", "_hot"])
 
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NONE)).cast("long").alias("_id"), "text").mapInArrow(run, schema)
+    return docs.select("_id", "text").mapInArrow(run, schema)
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
@@ -227,28 +257,23 @@ class Inverted:
         """(set, overlap) of the sets whose similarity with the query reaches the percentage, the most promising first. wanted(set) is
         asked just before a set would be probed, so a caller can pass over what it has come to know."""
         a = len(query)
-        lists = [(x, t) for t in query.tolist() if (x := self.lists.get(t))]
+        lists = [x for t in query.tolist() if (x := self.lists.get(t))]
         least = -(-percent * a // 100)
         if len(lists) < least:
             return
-        lists.sort(key=lambda x: len(x[0]))
+        lists.sort(key=len)
         # the longest lists are set aside; a set needs the rest of T from the short ones
-        aside = min(least - 1, int(least / (MU * np.log2(len(lists[-1][0])) + 1)))
-        short = [x for x, _ in lists[: len(lists) - aside]]
-        long = np.sort(np.array([t for _, t in lists[len(lists) - aside :]], np.uint64))
-        if sum(map(len, short)) < 2000:
-            counts = [(k, sum(1 for _ in run)) for k, run in groupby(heapq.merge(*short))]
-        else:  # so many entries are counted faster than they are merged
-            counts = Counter(chain.from_iterable(short)).items()
+        aside = min(least - 1, int(least / (MU * math.log2(len(lists[-1])) + 1)))
+        short = lists[: len(lists) - aside]
+        long = lists[len(lists) - aside :]
+        counts = [(k, sum(1 for _ in run)) for k, run in groupby(heapq.merge(*short))]
         for k, n in sorted(counts, key=lambda x: (-x[1], x[0])):
-            own = self.sets[k]
-            need = _need(a, len(own), percent)
+            need = _need(a, len(self.sets[k]), percent)
             if n + aside < need or (wanted is not None and not wanted(k)):
                 continue
-            if aside:  # a set stands in a token's list if the token is found in the set
-                at = np.searchsorted(own, long)
-                at[at == len(own)] = 0
-                n += int(np.count_nonzero(own[at] == long))
+            for x in long:
+                at = bisect_left(x, k)
+                n += at < len(x) and x[at] == k
             if n >= need:
                 yield k, n
 
@@ -283,9 +308,6 @@ def _near(x: np.ndarray, y: np.ndarray, far: float) -> bool:
 def cluster(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
     """For each of some different sets: its component (of all links among them) and its leader, a set that it is linked to or
     is itself. Two followers x, y of leaders p, q can only be linked if d(p, q) <= d(p, x) + d(x, y) + d(y, q) <= 3 (1 - t)."""
-    if len(sets) == 2:
-        one = _similar(sets[0], sets[1], percent)
-        return [0, 0 if one else 1], [0, 0 if one else 1]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
     joined, index, leaders, leader = Sets(len(sets)), Inverted(), [], [0] * len(sets)
     for i in order:
@@ -406,8 +428,7 @@ def _pair_blocks(rows: DataFrame, percent: int, far: int, limit: int) -> DataFra
 
 def _texts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """members (keyed by _id) with the set of each document's text as binary column _set."""
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NONE)).cast("long").alias("_id"), "text")
-    rows = join_sized(rows, members, "_id", "inner")
+    rows = join_sized(docs.select("_id", "text"), members, "_id", "inner")
     rest = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*rest).schema) + ", _set binary"
 
@@ -442,15 +463,14 @@ def _join_chunks(docs: DataFrame, blocks: DataFrame, n: int, percent: int, limit
     return components(edges.union(more.where("linked").select("u", "v")))
 
 
-def jaccard_components(
-    docs: DataFrame, words: int = 3, percent: int = 90, sketch_bits: int = 22, hot: int = 20_000, chunk_shingles: int = 1_000_000
-) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: the smallest doc_id reachable by links of similarity percent / 100 or more."""
+def _components(docs: DataFrame, real, words: int, percent: int, bits: int, hot: int, chunk_shingles: int) -> DataFrame:
+    """_id, n_shingles and _least, the node that stands for the component, for every row of numbered docs (_id, text)."""
     if not 67 <= percent <= 100:  # below, leaders of linked followers may share nothing
         raise ValueError("percent has to be from 67 to 100")
     bound_arrow(docs.sparkSession)
-    features = materialise(_features(docs, words, percent, sketch_bits, hot), "features")
-    copies = features.where("n_shingles > 0").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count("*").alias("n")).where("n > 1")
+    least_of = F.coalesce(F.min(real(F.col("_id"))), F.min("_id"))
+    features = materialise(_features(docs, words, percent, bits, hot), "features")
+    copies = features.where("n_shingles > 0").groupBy("_digest").agg(least_of.alias("_rep"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(copies.select("_digest", "_rep"), "copies")
     classes = join_sized(features, copies, "_digest", "left", 48).withColumn("_rep", F.coalesce("_rep", "_id"))
     nodes = classes.where("_id = _rep")
@@ -474,24 +494,33 @@ def jaccard_components(
     if twice.limit(1).count():
         links = classes.select(F.col("_id").alias("u"), F.col("_rep").alias("v"))
         roots = components(links.union(roots.select(F.col("_id").alias("u"), F.col("_root").alias("v"))))
-        smallest = roots.groupBy("_root").agg(F.min("_id").alias("_least"))
-        roots = roots.join(smallest, "_root").select("_id", F.col("_least").alias("_root"))
         classes = classes.withColumn("_rep", F.col("_id"))
-    else:
-        smallest = roots.groupBy("_root").agg(F.min("_id").alias("_least"))
-        roots = roots.join(smallest, "_root").select("_id", F.col("_least").alias("_root"))
-    roots = materialise(roots.where("_id != _root").distinct().select(F.col("_id").alias("_rep"), F.col("_root")), "components")
+    smallest = roots.groupBy("_root").agg(least_of.alias("_least"))
+    roots = roots.join(smallest, "_root").select("_id", "_least")
+    roots = materialise(roots.where("_id != _least").distinct().select(F.col("_id").alias("_rep"), "_least"), "components")
     out = join_sized(classes, roots, "_rep", "left", 16)
-    real = lambda c: F.when(c != NONE, c)
-    return out.select(real(F.col("_id")).alias("doc_id"), "n_shingles", real(F.coalesce("_root", "_rep")).alias("component_id"))
-
-
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, **more) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; a doc_id found twice keeps one row."""
-    found = jaccard_components(docs, words, percent, **more)
-    gone = materialise(found.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    out = join_sized(docs, gone, "doc_id", "left_anti", 16)
-    ids = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).collect()[0]
-    if ids["n"] == ids["d"]:
-        return out
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
+    return out.select("_id", "n_shingles", F.coalesce("_least", "_rep").alias("_least"))
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = 3, percent: int = 90, bits: int | None = None, hot: int = 20_000, chunk_shingles: int = 1_000_000
+) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: the smallest doc_id reachable by links of similarity percent / 100 or more."""
+    rows, real, size = number_rows(docs, [])
+    found = _components(rows, real, words, percent, sketch_bits(size) if bits is None else bits, hot, chunk_shingles)
+    return found.select(real(F.col("_id")).alias("doc_id"), "n_shingles", real(F.col("_least")).alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bits: int | None = None, hot: int = 20_000, chunk_shingles: int = 1_000_000) -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id or, where no row has one, any. A doc_id found twice keeps one row; rows
+    without words are linked with nothing, so those without doc_id all stay."""
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"))
+    rows, real, size = number_rows(packed, ["_document"])
+    found = _components(rows.select("_id", "text"), real, words, percent, sketch_bits(size) if bits is None else bits, hot, chunk_shingles)
+    gone = materialise(found.where("_id != _least").select("_id").distinct(), "near-copies")
+    left = join_sized(rows, gone, "_id", "left_anti", 16)
+    ids = rows.agg(F.count("*").alias("n"), F.count_distinct("_id").alias("d")).collect()[0]
+    if ids["n"] != ids["d"]:
+        open_ended = real(F.col("_id")).isNull() & (trimmed(F.col("text")) == "")
+        left = left.where(~open_ended).dropDuplicates(["_id"]).union(left.where(open_ended))
+    return left.select("_document.*")

@@ -38,8 +38,8 @@ def test_empty_tables(spark, empty):
     assert mixing.mix(empty).count() == 0
     assert mixing.mix_documents(empty).count() == 0
     assert suffix.remove_repeats(empty).count() == 0
-    assert jaccard.jaccard_components(empty, sketch_bits=12).count() == 0
-    assert jaccard.near_dedup(empty, sketch_bits=12).count() == 0
+    assert jaccard.jaccard_components(empty, bits=12).count() == 0
+    assert jaccard.near_dedup(empty, bits=12).count() == 0
     assert tokens.token_counts(empty, MODEL).count() == 0
     assert lines.line_digests(empty, lines.keep_bitmaps(empty)).count() == 0
     assert sharding.shard(empty).count() == 0
@@ -133,7 +133,7 @@ def test_repeats_on_odd_rows(docs, options):
 
 @pytest.mark.parametrize(("n", "percent", "options"), [(3, 90, {}), (2, 70, {"chunk_shingles": 80, "hot": 1}), (5, 80, {"hot": 0})])
 def test_components_on_odd_rows(docs, n, percent, options):
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, n, percent, sketch_bits=12, **options).collect()}
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, n, percent, bits=12, **options).collect()}
     keyed = {-1 if d is None else d: t for d, t, _ in odd.DOCS}
     want = brute_components(list(keyed.items()), n, percent)
     assert {(d, s, c) for d, s, c in got if d is not None} == {(d, s, c) for d, (s, c) in want.items() if d != -1}
@@ -142,7 +142,7 @@ def test_components_on_odd_rows(docs, n, percent, options):
 
 def test_rows_of_one_id_are_one_node(spark):
     made = [(1, odd.NEAR, "a"), (2, "q w e r t y", "a"), (1, "q w e r t y", "a"), (3, odd.NEAR, "a"), (4, "solo text here now", "a")]
-    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(odd.docs(spark, made), sketch_bits=12).collect()}
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(odd.docs(spark, made), bits=12).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
@@ -160,7 +160,7 @@ def test_chains_and_clusters_equal_brute_force(spark):
             k += 1
     random.shuffle(made)
     for options in ({}, {"chunk_shingles": 500, "hot": 5}):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(odd.docs(spark, made), 1, 90, sketch_bits=12, **options).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(odd.docs(spark, made), 1, 90, bits=12, **options).collect()}
         assert got == brute_components([x[:2] for x in made], 1, 90)
 
 
@@ -186,12 +186,41 @@ def test_divide_skip_finds_all():
 
 
 def test_near_dedup_keeps_one(docs):
-    kept = jaccard.near_dedup(docs, 5, 80, sketch_bits=12)
+    kept = jaccard.near_dedup(docs, 5, 80, bits=12)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert sorted(ids, key=repr) == sorted([1, 2, 3, 4, 5, 7, 10, None, 11, 12, 13, 14], key=repr)
 
 
+def test_rows_without_id_are_nodes_of_their_own(spark):
+    made = [(6, odd.NEAR, "a"), (None, odd.NEAR, "a"), (5, odd.NEAR, "a"), (None, "lone row of some words", "a"), (None, "lone row of some words", "b")]
+    made += [(None, "other words that stand alone", "a"), (None, "", "a"), (None, None, "b"), ((1 << 63) - 1, "an id at the end", "a"), (-(1 << 63), "an id at the start", "a")]
+    made += [(7, odd.PASSAGE * 9 + " x1 x2 x3", "a"), (None, odd.PASSAGE * 9 + " y", "a")]
+    table = odd.docs(spark, made)
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(table, bits=12, percent=80).collect())
+    assert got == collections.Counter(
+        {(6, 5): 1, (5, 5): 1, (None, 5): 1, (None, None): 5, ((1 << 63) - 1,) * 2: 1, (-(1 << 63),) * 2: 1, (7, 7): 1, (None, 7): 1}
+    )
+    kept = jaccard.near_dedup(table, 3, 80, bits=12)
+    assert kept.columns == table.columns
+    left = collections.Counter((r["doc_id"], (r["text"] or "")[:8]) for r in kept.collect())
+    assert left == collections.Counter(
+        {(5, odd.NEAR[:8]): 1, (None, "lone row"): 1, (None, "other wo"): 1, (None, ""): 2, ((1 << 63) - 1, "an id at"): 1, (-(1 << 63), "an id at"): 1, (7, odd.PASSAGE[:8]): 1}
+    )
+
+
+def test_sketch_counts_beyond_the_mean(spark):
+    """A sketch that everything shares still tells frequent n-grams from rare ones."""
+    rows = [(i, f"common words here u{i} v{i} w{i} x{i} y{i}", "s") for i in range(600)]
+    table = jaccard._sketch(odd.docs(spark, rows, clash=False), 3, 6)
+    hot = next(jaccard._sets(pa.array(["common words here"]), 3, Powers()))
+    assert table[int(hot[0] >> np.uint64(58))] > 300
+    assert np.median(table) < 60
+    small = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(odd.docs(spark, rows[:60]), 3, 90, bits=6, hot=0).collect()}
+    assert small == {(i, i) for i in range(60)}
+    assert [jaccard.sketch_bits(n) for n in (0, 10**9, 10**11, 10**14)] == [22, 22, 26, 26]
+
+
 def test_token_counts_on_odd_rows(docs):
     got = rows(tokens.token_counts(docs, MODEL), "doc_id", "n_pretokens")
     assert got == sorted(((d, count_words(t)) for d, t, _ in odd.DOCS), key=repr)
