@@ -115,6 +115,39 @@ def test_suffix_array_is_sorted():
         assert suffix.suffix_array(t, powers).tolist() == sorted(range(n + 1), key=lambda i, b=t.tolist(): b[i:])
 
 
+def test_recursion_and_common_prefixes():
+    """Strings whose names need recursion over many symbols, up to long runs and repeats of repeats."""
+    rng, powers = random.Random(6), Powers()
+    part = [rng.randrange(1, 250) for _ in range(500)]
+    mixed = [rng.randrange(1, 9) for _ in range(2000)]
+    for body in (part * 3, part + [7] * 300 + part, [5] * 600, [1, 2] * 400, mixed, [rng.randrange(1, 5000) for _ in range(1200)] * 2, list(range(900, 0, -1)) * 2):
+        t = np.array([*body, 0], np.int64)
+        got = suffix.suffix_array(t, powers)
+        plain = t.tolist()
+        want = sorted(range(len(plain)), key=lambda i, b=plain: b[i:])
+        assert got.tolist() == want
+        if max(body) < 512:
+            same, phi = suffix.common_prefixes(t.astype(np.int16), got)
+            for a, b in zip(want, want[1:], strict=False):
+                k = 0
+                while plain[a + k] == plain[b + k]:
+                    k += 1
+                assert (same[b], phi[b]) == (k, a)
+
+
+def test_rows_of_equal_id_and_colliding_hashes_stand_alone(spark):
+    """Rows without doc_id are told apart by 128 bits, so what repeats in one stays out of the other."""
+    rng = random.Random(8)
+    own = lambda: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(10**6)) for _ in range(60))
+    rows_ = [(None, own(), "s") for _ in range(40)]
+    rows_ += [(None, rows_[0][1] + own(), "s"), (3, own(), "s"), (3, own(), "s")]
+    found = suffix.remove_repeats(odd.docs(spark, rows_), 200)
+    gone = {r["n_bytes"]: r["n_removed"] for r in found.collect()}
+    assert sorted(v for v in gone.values() if v) == [len(rows_[0][1])] * (2 if len(rows_[0][1]) in gone else 1)
+    assert found.count() == len(rows_)
+    assert suffix._rows(odd.docs(spark, rows_)).select("_id", "_tag").distinct().count() == len(rows_)
+
+
 @pytest.mark.parametrize("options", [{}, {"wide_bytes": 1200, "shard_bytes": 2000}])
 def test_repeats_on_odd_rows(docs, options):
     n = 60
