@@ -285,21 +285,79 @@ def test_arc_versions_round_trip(spark, tmp_path):
     versions = {r["content"].split(b"\n")[1][:1] for r in arcs.collect()}
     assert versions == {b"1", b"2"}
     path = f"file://{tmp_path}/w"
-    warc.write_warc(warc.mark_revisits(warc.parse_arc(arcs)), path, per_file=2)
-    read = warc.read_warc(spark, path)
+    warc.write_warc(warc.mark_revisits(warc.parse_arc(arcs)), path, file_bytes=300)
+    read = warc.read_warc(spark, path).cache()
     got = {(r["page_id"], r["record_type"], r["payload_bytes"], r["refers"]) for r in read.withColumn("refers", warc.page_number(F.col("refers_to_id"))).collect()}
     assert read.count() == len(made)
+    assert read.where("error IS NOT NULL").count() == 0
     assert (1, "revisit", 9, 3) in got
     assert (3, "response", 9, None) in got
     assert (2, "revisit", 0, 4) in got
     assert (None, "response", 18, None) in got
     assert (5, "response", 200_000, None) in got
-    assert read.where("page_id = 3").first()["payload"] == "<p>é</p>"
+    assert bytes(read.where("page_id = 3").first()["payload"]) == "<p>é</p>".encode()
     assert read.where("page_id = 1").first()["url"] == "http://a.b/c%20d"
     short = warc.mark_revisits(warc.parse_arc(arcs), min_bytes=10)
     assert short.where("record_type = 'revisit'").count() == 0
-    with pytest.raises(ValueError, match="version"):
-        list(warc.arc_records(b"filedesc://x 0 0 text/plain 6\n9 0 x\nrest"))
+
+
+def arc(records, version="1"):
+    block = f"{version} 0 own\n{warc.ARC_FIELDS.get(version, 'URL')}\n\n".encode()
+    out = b"filedesc://x 0.0.0.0 20020101000000 text/plain %d\n" % len(block) + block
+    for head, content, size in records:
+        out += head.encode("latin-1") + b" %d\n" % (len(content) if size is None else size) + content + b"\n"
+    return out
+
+
+def test_archives_as_they_are_found(spark, tmp_path):
+    """Payloads that are not UTF-8, images, blanks in addresses, short dates, other protocols, cut-off and broken containers."""
+    image = bytes(range(256)) * 40
+    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\n\r\n"
+    whole = arc(
+        [
+            ("http://a/x y z 1.2.3.4 20020304050607 text/html", http + "caf\xe9".encode("latin-1"), None),
+            ("http://a/i 1.2.3.4 20020304 image/png", http + image, None),
+            ("dns:a.b 1.2.3.4 200203040506 text/dns", b"20020304\na.b 1.2.3.4", None),
+            ("http://a/j 1.2.3.4 20020304 image/png", http + image, None),
+            ("http://a/bad 1.2.3.4 yesterday text/html", http, None),
+            ("http://a/cut 1.2.3.4 20020304050607 text/html", http + b"begin", 5000),
+        ]
+    )
+    broken = arc([("http://a/ok 1.2.3.4 20020304050607 text/html", http, None)]) + b"no header here\nrest"
+    archives = spark.createDataFrame([(bytearray(x),) for x in (whole, broken, b"junk", arc([], "9"), b"")], "content binary")
+    found = warc.parse_arc(archives).cache()
+    rows_ = {r["url"]: r for r in found.collect() if r["url"]}
+    assert bytes(rows_["http://a/x y z"]["payload"]) == b"caf\xe9"
+    assert (rows_["http://a/x y z"]["status"], rows_["http://a/x y z"]["date"]) == (404, "2002-03-04T05:06:07Z")
+    assert (rows_["dns:a.b"]["kind"], rows_["dns:a.b"]["date"]) == ("resource", "2002-03-04T05:06:00Z")
+    errors = sorted(r["error"] for r in found.where("error IS NOT NULL").collect())
+    assert [e.split(":")[0] for e in errors[:1]] == ["date"]
+    assert [e for e in errors if e.startswith("truncated")] == [f"truncated: {len(http) + 5 + 1} of 5000 bytes"]
+    assert sum(e.startswith("version block") for e in errors) == 3
+    assert sum(e.startswith("record header") for e in errors) == 1
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(warc.mark_revisits(found), path)
+    read = warc.read_warc(spark, path).cache()
+    assert collections.Counter(r["record_type"] for r in read.collect()) == collections.Counter({"response": 3, "resource": 1, "revisit": 1})
+    assert {bytes(r["payload"]) for r in read.where("record_type != 'revisit'").collect()} == {b"caf\xe9", image, b"20020304\na.b 1.2.3.4", b""}
+    assert read.where("error IS NOT NULL").count() == 0
+
+
+def test_warc_files_as_they_are_found():
+    import gzip
+
+    record = warc._record({"record_type": "response", "kind": "response", "record_id": "<urn:uuid:1>", "date": "d", "url": "u", "ip": None, "mime": None, "http_head": b"HTTP/1.0 200 OK", "payload": b"abc", "payload_bytes": 3, "payload_digest": warc._digest(b"abc"), "page_id": 7, "refers_to_id": None})
+    assert [r[8:] for r in warc._read(record + record)] == [(b"abc", None)] * 2
+    assert [r[8:] for r in warc._read(gzip.compress(record) + gzip.compress(record))] == [(b"abc", None)] * 2
+    assert [r[8:] for r in warc._read(gzip.compress(record + record))] == [(b"abc", None)] * 2
+    assert next(warc._read(record.replace(b"abc", b"abd")))[9].startswith("digest")
+    assert next(warc._read(record[:-6]))[9].startswith("truncated")
+    assert [r[9] for r in warc._read(gzip.compress(record) + gzip.compress(record)[:40])] == [None, "truncated"]
+    assert [r[9] for r in warc._read(b"GIF89a\r\n\r\n")] == ["not a WARC record"]
+    long = bytes(warc.MEMBER + 5000)
+    packed = warc._members(long)
+    assert packed[-1] == 0
+    assert b"".join(warc._plain(packed)) == long
 
 
 def test_chat_folds_and_escapes(spark):
