@@ -7,7 +7,9 @@ occurrence. What crosses partitions is one summary for each run. The result is a
 packed and deflated; text never takes part in the exchange of lines.
 
 Defined cases: null or empty text is one empty line; a key shorter than ``min_chars`` is never dropped; repeated rows of one
-doc_id count as one document, and each row gets its own bitmap; extra columns are kept by ``apply_bitmaps``.
+doc_id count as one document, and each row gets its own bitmap; rows without doc_id are one document; very long texts have a bit for each
+line; of equal lines the first by (doc_id, text hash, position) is the first; an empty table gives no rows; extra columns, whatever their
+names, are ignored by ``line_digests`` and kept by ``apply_bitmaps``.
 """
 
 from __future__ import annotations
@@ -121,10 +123,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: s
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with its bitmap (null: keeps all) as column _bitmap."""
-    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    on = marked["doc_id"].eqNullSafe(bitmaps["_doc"]) & (marked["_hash"] == bitmaps["_row"])
-    return marked.join(bitmaps, on, "left").drop("_doc", "_row", "_hash").withColumnRenamed("bitmap", "_bitmap")
+    """_document (all columns of docs in one), text and _bitmap (null: keeps all) of every row."""
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"), "text", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash")
+    )
+    on = F.col("_id").eqNullSafe(bitmaps["_doc"]) & (F.col("_hash") == bitmaps["_row"])
+    return packed.join(bitmaps, on, "left").select("_document", "text", F.col("bitmap").alias("_bitmap"))
 
 
 def _kept(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
@@ -137,20 +141,27 @@ def _kept(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(left), "\n".join(left)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the kept lines as text, and n_lines, n_dropped as further columns with a leading underscore."""
-    joined = with_bitmaps(docs, bitmaps)
-    kind = StructType.fromDDL("text string, _n_lines long, _n_dropped long")
-    schema = StructType([f for f in joined.schema.fields if f.name not in ("text", "_bitmap")] + kind.fields)
+    """docs with the kept lines as text, and two further columns, _n_lines and _n_dropped; a column that is called so already stays, and
+    the new one gets one more underscore."""
+    joined = with_bitmaps(docs, bitmaps).select("_document", "text", "_bitmap")
+    schema = StructType([joined.schema["_document"], *StructType.fromDDL("_kept string, _lines long, _dropped long").fields])
 
     def run(batches):
         for b in batches:
-            rows = [_kept(t, m) for t, m in zip(b.column("text").to_pylist(), b.column("_bitmap").to_pylist(), strict=True)]
-            others = [n for n in b.schema.names if n not in ("text", "_bitmap")]
+            rows = [_kept(t.as_py(), m.as_py()) for t, m in zip(b.column("text"), b.column("_bitmap"), strict=True)]
             made = [pa.array([r[2] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in others), *made], names=[*others, *(f.name for f in kind.fields)])
+            yield pa.RecordBatch.from_arrays([b.column("_document"), *made], names=["_document", "_kept", "_lines", "_dropped"])
 
-    return joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, schema)
+    own = [F.col("_kept").alias(c) if c == "text" else F.col("_document")[c].alias(c) for c in docs.columns]
+    return out.select(*own, *(F.col(c).alias(_free(n, docs.columns)) for c, n in (("_lines", "_n_lines"), ("_dropped", "_n_dropped"))))
 
 
 def line_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -168,4 +179,4 @@ def line_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     joined = with_bitmaps(docs.select("doc_id", "text"), bitmaps)
     schema = StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept_sha256 string").add(StructField("keep_bitmap", BinaryType()))
-    return joined.select("doc_id", "text", "_bitmap").mapInArrow(run, schema)
+    return joined.select(F.col("_document")["doc_id"].cast("long").alias("doc_id"), "text", "_bitmap").mapInArrow(run, schema)

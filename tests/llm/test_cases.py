@@ -265,8 +265,11 @@ def test_token_counts_on_odd_rows(docs):
 
 def test_lines_on_odd_rows(spark, docs):
     for keep in ("first", "none"):
-        maps = lines.keep_bitmaps(docs.select("doc_id", "text", "source"), min_docs=2, min_chars=1, keep=keep)
-        left = lines.apply_bitmaps(docs.select("doc_id", "text", "source"), maps)
+        clashing = docs.withColumns({c: F.col("source") for c in ("_row", "_doc", "_hash", "bitmap", "_pos", "_n_lines", "_document")})
+        maps = lines.keep_bitmaps(clashing, min_docs=2, min_chars=1, keep=keep)
+        left = lines.apply_bitmaps(clashing, maps)
+        assert left.columns == [*clashing.columns, "__n_lines", "_n_dropped"]
+        assert left.where("NOT _row <=> source OR NOT bitmap <=> source").count() == 0
         texts = {r["doc_id"]: r["text"] for r in left.where("doc_id != 9").collect()}
         assert texts[1] == "Hello World\nhello world \n\n x"  # one document alone
         assert texts[7] == ("one two" if keep == "first" else "")
@@ -426,13 +429,27 @@ def test_repeat_words_equal_brute_force(spark):
 
 
 def test_cascade_order_is_by_rejection_per_cost(spark):
-    made = [(i, " ".join([("#$%" if i % 2 else "plain"), *(f"word{i}x{k}" for k in range(60))]), "s") for i in range(40)]
-    never = quality.Rule("never", lambda: F.lit(False), chars=1)
-    dear = quality.Rule("dear", lambda: F.col("n_symbols") > 0, chars=50)
-    cheap = quality.Rule("cheap", lambda: F.col("n_symbols") > 0, lines=1)
-    stats = quality.quality_stats(odd.docs(spark, made, clash=False))
-    assert [r.name for r in quality.cascade_order(stats, [never, dear, cheap])][0] == "cheap"
-    assert quality.cascade_order(stats, []) == []
+    never, dear, cheap = (quality.Rule(n, lambda d: F.lit(True)) for n in ("never", "dear", "cheap"))
+    cost = {"never": 1, "dear": 50, "cheap": 1}
+    assert [r.name for r in quality.order_rules([never, dear, cheap], {0: 10, 6: 30}, cost)] == ["cheap", "never", "dear"]
+    assert [r.name for r in quality.order_rules([never, dear, cheap], {0: 10, 2: 900, 4: 1}, cost)][0] == "dear"
+    made = [(i, " ".join([("#$%" * 9 if i % 2 else "plain"), *(f"word{i}x{k}" for k in range(60))]), "s") for i in range(40)]
+    docs = odd.docs(spark, made, clash=False)
+    slow = quality.Rule("slow", lambda d: d.n_repeat_words + F.length(F.repeat(d.text, 2000)) < 0)
+    order = [r.name for r in quality.cascade_order(docs, [slow, *quality.default_rules()])]
+    assert order[0] == "symbols"
+    assert set(order) == {"slow", *(r.name for r in quality.default_rules())}
+    assert quality.cascade_order(docs, []) == []
+    assert quality.measure(docs, quality.base_rules()).keys() == {"few_words", "repeats"}
+
+
+def test_lazy_and_whole_verdicts_agree(spark, docs):
+    made = [(i, t, "s") for i, t in enumerate(["- a b c d e f\n" * 12, "WORD " * 20 + "low " * 50, " ".join(f"w{k}..." for k in range(70)), "\n".join(f"line {k} of some text..." for k in range(30)), " ".join(str(k) for k in range(99)), "x\n" * 80, " ".join("q" * 20 + str(k) for k in range(60))])]
+    table = docs.unionByName(odd.docs(spark, made))
+    kept = quality.apply_rules(table, keep=["doc_id", "n_words", "kept"])
+    assert kept.columns[:3] == ["doc_id", "n_words_given", "kept_given"]
+    want = collections.Counter(r["doc_id"] for r in kept.where("kept").collect())
+    assert collections.Counter(r["doc_id"] for r in quality.keep_good(table).collect()) == want
 
 
 def test_sized_join_has_another_way(spark):
