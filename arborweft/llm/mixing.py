@@ -1,18 +1,21 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Every source has a target number of words; equal blocks of words are the seats, and each seat goes to the source with
-the highest quotient target / (2 seats + 1). A source's seats are divided over its shards (rows by hash of their id) the
-same way. Inside a shard, documents stand in seeded order and are cut into blocks; the quota takes whole passes and then a
-run of blocks from a seeded start, on a ring. The runs' edges may cut a document, so a source meets its quota to the word.
-
-Defined cases: null text has no words; a null source is a source of its own, after all others; documents without words
-are taken 0 times; repeated rows are rows of their own. The number of sources is the only thing the driver holds.
+the highest quotient target / (2 seats + 1). A source's seats are divided the same way over groups of shards (rows by hash of
+their id), and a group's over its shards, so that no task sees more than a group. Inside a shard, documents stand in seeded order and are cut
+into blocks; the quota takes whole passes and then a run of blocks from a seeded start, on a ring. The runs' edges may cut a
+document, so a source meets its quota to the word.
+
+Defined cases: null text has no words; a null source is a source of its own, after all others; a null doc_id is an empty one; documents
+without words, and so empty texts, are taken 0 times; very long texts are cut by blocks like others; repeated rows are rows of their own; ties of
+quotients go to the source that comes first; an empty table gives no rows; other columns, whatever their names, are ignored by ``mix`` and kept
+by ``mix_documents``. What the driver holds is a row for each source.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,10 @@ from pyspark.sql import functions as F
 from arborweft.llm.common import join_sized, materialise
 
 
+#: Shards of a group: seats are divided over groups, then inside each, by tasks that see no more rows than this or the groups there are.
+GROUP = 4096
+
+
 def sainte_lague(votes: list[float], seats: int) -> list[int]:
     """Seats by highest quotients votes / (2 s + 1); ties go to the earlier one. A divisor found by halving gives all
     but the last few seats at once, so the work does not grow with the seats."""
@@ -64,8 +71,8 @@ def share_targets(sizes: list[int], weights: list[float], most: float) -> list[f
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix in whole documents: every column of docs, a row for each time the mix takes it. Rows of one doc_id are told apart
-    by their number of words."""
+    """The mix in whole documents: every column of docs, a row for each time the mix takes it. Rows of one doc_id, or of none, are told
+    apart by their number of words."""
     taken = mix(docs, **options)
     ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).collect()[0]
     taken = taken.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_n"), F.col("whole").cast("int").alias("_mix_whole"))
@@ -89,42 +96,51 @@ def mix(
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, whole: ``taken`` words of the document go into the mix, ``whole`` is how
     often a mix of undivided documents takes it (a run takes a document that starts in it)."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     narrow = docs.select(
         "doc_id",
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("_src"),
         word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("_shard"),
-        F.xxhash64(F.lit(seed + 1), "doc_id").alias("_h"),
+        F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), own)), 1, 15), 16, 10).cast("long").alias("_shard"),
+        F.md5(F.concat(F.lit(f"{seed + 1}/"), own)).alias("_h"),
     )
     narrow = materialise(narrow, "mix-sizes")
     sources = narrow.groupBy("_src").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     found = {r["_src"]: r["n"] for r in sources}
-    # a source gets shards by its rows, so a large one is spread as evenly as all others together
-    shards = docs.sparkSession.createDataFrame([(r["_src"], -(-r["rows"] // rows_per_shard)) for r in sources], "_src string, _shards long")
-    narrow = narrow.join(F.broadcast(shards), "_src").withColumn("_shard", F.pmod("_shard", "_shards").cast("int")).drop("_shards")
-    cells = narrow.groupBy("_src", "_shard").agg(F.sum("size").alias("_cell"))
     names = sorted(found, key=lambda s: (s[0] == "n", s))  # code points, null last
     sizes = [found[s] for s in names]
     targets = share_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], most)
-    quota = dict(zip(names, sainte_lague(targets, round(sum(targets) / block_words)), strict=True))
-    known = {s: (n, t) for s, n, t in zip(names, sizes, targets, strict=True)}
-
-    def divide(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("_shard")
-        src = cell["_src"].iloc[0]
-        n = cell["_cell"].to_numpy()
-        take = np.minimum(np.asarray(sainte_lague(n.tolist(), quota[src])) * block_words, n * most)
+    quota = sainte_lague(targets, (min(sum(sizes), most * sum(sizes)) + block_words // 2) // block_words)
+    rows = {r["_src"]: r["rows"] for r in sources}
+    # a source gets shards by its rows, so a large one is spread as evenly as all others together
+    plans = [(s, -(-rows[s] // rows_per_shard), n, t, q) for s, n, t, q in zip(names, sizes, targets, quota, strict=True)]
+    plans = docs.sparkSession.createDataFrame(plans, "_src string, _shards long, source_size long, target double, _quota long")
+    narrow = join_sized(narrow, plans.select("_src", "_shards"), "_src", "inner").withColumn("_shard", F.pmod("_shard", "_shards")).drop("_shards")
+    cells = materialise(narrow.groupBy("_src", "_shard").agg(F.sum("size").alias("_cell")).withColumn("_group", F.floor(F.col("_shard") / GROUP)), "mix-cells")
+
+    def divide(rows: pd.DataFrame, by: str, votes: str) -> pd.DataFrame:
+        """The seats of _quota over rows in order of a column, by their votes."""
+        rows = rows.sort_values(by)
+        return rows.assign(_seats=sainte_lague(rows[votes].tolist(), int(rows["_quota"].iloc[0])))
+
+    def of_groups(rows: pd.DataFrame) -> pd.DataFrame:
+        return divide(rows, "_group", "_votes")[["_src", "_group", "_seats"]]
+
+    def of_cells(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = divide(rows, "_shard", "_cell")
+        n = rows["_cell"].to_numpy()
+        take = np.minimum(rows["_seats"].to_numpy() * block_words, n * most)
         whole = np.where(n > 0, take // np.maximum(n, 1), 0)
-        run = take - whole * n
         blocks = np.maximum(1, -(-n // block_words))
-        pick = np.array([zlib.crc32(f"{seed}/{src}/{s}".encode()) for s in cell["_shard"]])
-        return pd.DataFrame(
-            {"_src": src, "_shard": cell["_shard"], "_cell": n, "_pass": whole, "_run": run, "_start": pick % blocks * block_words}
-        ).assign(source_size=known[src][0], target=known[src][1])
-
-    plan = cells.groupBy("_src").applyInPandas(
-        divide, "_src string, _shard int, _cell long, _pass long, _run long, _start long, source_size long, target double"
-    )
+        pick = np.array([int(hashlib.md5(f"{seed}/{src}/{s}".encode()).hexdigest()[:8], 16) for src, s in zip(rows["_src"], rows["_shard"], strict=True)])
+        made = rows.assign(_pass=whole, _run=take - whole * n, _start=pick % blocks * block_words)
+        return made[["_src", "_shard", "_cell", "_pass", "_run", "_start"]]
+
+    groups = cells.groupBy("_src", "_group").agg(F.sum("_cell").alias("_votes"))
+    groups = join_sized(groups, plans.select("_src", "_quota"), "_src", "inner").groupBy("_src").applyInPandas(of_groups, "_src string, _group long, _seats long")
+    plan = cells.join(groups.withColumnRenamed("_seats", "_quota"), ["_src", "_group"])
+    plan = plan.groupBy("_src", "_group").applyInPandas(of_cells, "_src string, _shard long, _cell long, _pass long, _run long, _start long")
+    plan = join_sized(plan, plans.select("_src", "source_size", "target"), "_src", "inner")
     order = W.partitionBy("_src", "_shard").orderBy("_h", "doc_id", "size")
     placed = narrow.withColumn("_off", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(plan, ["_src", "_shard"])

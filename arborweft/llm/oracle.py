@@ -104,5 +104,65 @@ FROM f
 """
 
 
+_SIZES = rf"""
+t AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src, CAST(len({WORDS}) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), '') AS own FROM documents),
+w AS (SELECT *, CAST('0x' || substr(md5('20/' || own), 1, 15) AS BIGINT) AS k, md5('21/' || own) AS h FROM t),
+src AS (SELECT src, CAST(sum(size) AS BIGINT) AS n, CAST(ceil(count(*) / 2000) AS BIGINT) AS shards, row_number() OVER (ORDER BY src = 'n', src) AS i FROM w GROUP BY src),
+weighed AS (SELECT *, list_extract([5.0, 2.0, 1.0], CAST((i - 1) % 3 + 1 AS BIGINT))::DOUBLE AS weight FROM src)"""
+#: The targets: sources in the order in which they reach three times their size; the first that does not, and all after it, share what is left.
+_TARGETS = """
+line AS (SELECT *, sum(n) OVER () AS total, row_number() OVER (ORDER BY 3 * n / weight, i) AS place FROM weighed WHERE n > 0),
+units AS (SELECT *, (total - coalesce(sum(3 * n) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM line),
+first AS (SELECT place, unit FROM units WHERE unit * weight <= 3 * n ORDER BY place LIMIT 1),
+targets AS (SELECT weighed.*, CASE WHEN weighed.n = 0 THEN 0.0 WHEN units.place < first.place THEN (3 * weighed.n)::DOUBLE ELSE first.unit * weighed.weight END AS target
+    FROM weighed LEFT JOIN units USING (src) LEFT JOIN first ON true)"""
+
+
+def _seats(name: str, rows: str, votes: str, order: str, seats: str, within: str) -> str:
+    """Sainte-Laguë by the whole list of quotients: the highest ``seats`` of each partition win."""
+    return f"""
+{name}_all AS (SELECT *, unnest(range({seats})) AS s FROM {rows} WHERE {votes} > 0),
+{name}_won AS (SELECT *, row_number() OVER ({within} ORDER BY {votes} / (2 * s + 1) DESC, {order}, s) AS place FROM {name}_all),
+{name} AS (SELECT {rows}.*, coalesce(g.seats, 0) AS seats FROM {rows} LEFT JOIN (SELECT src, {order} AS at, count(*) AS seats FROM {name}_won WHERE place <= {seats} GROUP BY ALL) g ON g.src = {rows}.src AND g.at = {rows}.{order})"""
+
+
+#: A source has one group of shards here, as it has up to 8 million rows.
+OP2 = f"""
+WITH {_SIZES}, {_TARGETS}, voted AS (SELECT *, CAST((sum(n) OVER () + 64) // 128 AS BIGINT) AS all_seats FROM targets),{_seats("quota", "voted", "target", "i", "all_seats", "")},
+placed AS (SELECT w.*, k % shards AS shard, i, n, target, seats AS quota FROM w JOIN quota USING (src)),
+cells AS (SELECT src, shard, any_value(quota) AS q, sum(size)::BIGINT AS cell FROM placed GROUP BY src, shard),{_seats("dealt", "cells", "cell", "shard", "q", "PARTITION BY src")},
+taken AS (SELECT *, least(seats * 128, cell * 3)::BIGINT AS take FROM dealt),
+plan AS (SELECT src, shard, cell, CASE WHEN cell > 0 THEN take // cell ELSE 0 END AS pass, CASE WHEN cell > 0 THEN take % cell ELSE take END AS run,
+    CAST('0x' || substr(md5('20/' || src || '/' || shard), 1, 8) AS BIGINT) % greatest(1, ceil(cell / 128)::BIGINT) * 128 AS start FROM taken),
+line2 AS (SELECT placed.*, pass, run, start, cell, sum(size) OVER (PARTITION BY src, shard ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS off
+    FROM placed JOIN plan USING (src, shard))
+SELECT doc_id, size, n AS source_size, target, CAST(pass * size + greatest(0, least(off + size, start + run, cell) - greatest(off, start)) + greatest(0, least(off + size, start + run - cell) - off) AS BIGINT) AS taken
+FROM line2
+"""
+
+
+def _crc_table() -> list[int]:
+    """The table of the reflected CRC-32 polynomial, by its rule."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+OP9 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size FROM documents),
+c AS (SELECT *, substr(md5(text), 1, 16) || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key,
+    CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS UBIGINT))),
+      lambda a, b: xor(a >> 8, list_extract({_crc_table()}::UBIGINT[], CAST((xor(a, b) & 255) + 1 AS BIGINT)))), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM t),
+line AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS off,
+    row_number() OVER (ORDER BY key, doc_id NULLS FIRST, size, text_crc32) AS row, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, CAST(least(39, (2 * off + size) * 40 // (2 * total)) AS INT) AS shard FROM line)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_array_dedup": OP3, "op4_ngram_jaccard_join": OP4, "op6_line_dedup": OP6, "op7_warc": OP7, "op8_chat_format": OP8, "op10_quality_rules": OP10}
+    return {"op2_mix_sources": OP2, "op9_sharding": OP9, "op3_suffix_array_dedup": OP3, "op4_ngram_jaccard_join": OP4, "op6_line_dedup": OP6, "op7_warc": OP7, "op8_chat_format": OP8, "op10_quality_rules": OP10}

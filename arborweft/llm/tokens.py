@@ -5,12 +5,13 @@ walked depth first in sorted order: a node holds the best forward log-probabilit
 that path, and is computed once however many pre-tokens share it. What is stored are the counts at terminals, so a document
 costs one look-up for each word. Documents are read in place; nothing is exchanged.
 
-The vocabulary is a sentencepiece model file, never trained here. Unigram models carry log-probabilities; a BPE model's scores are
-merge ranks, which stand for Zipf probabilities 1 / (rank + 1). A character no piece covers costs one byte piece for each of its
-bytes. Equal scores go to fewer pieces.
+The vocabulary is a sentencepiece model file, never trained here; the file says which kind it is. A unigram model carries log-probabilities; the
+scores of other kinds are merge ranks, which stand for Zipf probabilities 1 / (rank + 1), so the counts are those of a unigram model over the
+same pieces and come near, not equal, to the file's own tokenizer (``own_counts`` gives its). A character no piece covers costs one byte
+piece for each of its bytes. Equal scores go to fewer pieces.
 
-Defined cases: null or empty texts have 0 tokens; repeated rows give a row each; very long words are one path; an empty table
-gives no rows; other columns are ignored.
+Defined cases: null or empty texts have 0 tokens; repeated rows give a row each; very long texts are read whole and very long words are one
+path; ties of scores go to fewer pieces; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +27,54 @@ MARK = "▁"
 COUNTS = "doc_id long, n_pretokens long, n_tokens long"
 
 
+#: Fixed values of the model format: where the kind stands in the file, and the kind with log-probabilities.
+TRAINER, KIND, UNIGRAM = 2, 3, 1
+
+
+def _fields(data: bytes):
+    """(number, value) of the fields of a protocol-buffer message: integers, or bytes of what has a length."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or varint()
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def is_unigram(model: bytes) -> bool:
+    """What the file itself says; a model that says nothing is of the format's default kind."""
+    for number, value in _fields(model):
+        if number == TRAINER:
+            return dict(x for x in _fields(value) if x[0] == KIND).get(KIND, UNIGRAM) == UNIGRAM
+    return True
+
+
 def load_pieces(path: str) -> tuple[dict[str, float], float]:
     """The pieces of a model with their log-probabilities, and that of a byte piece."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        raw = f.read()
+    model = sentencepiece.SentencePieceProcessor(model_proto=raw)
     plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     scores = [model.get_score(i) for i in plain]
-    if all(s == int(s) for s in scores):  # merge ranks
+    if not is_unigram(raw):  # merge ranks
         total = math.log(sum(1 / (1 - s) for s in scores))
         scores = [-math.log(1 - s) - total for s in scores]
     worst = min(scores)
@@ -103,3 +144,11 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, COUNTS)
+
+
+def own_counts(texts: list[str], model_path: str) -> list[int]:
+    """Tokens of each text, word by word, by the file's own tokenizer: what the counts can be held against."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    return [sum(map(len, model.encode([w.decode("utf-8", "replace") for w in t.encode().split()]))) for t in texts]

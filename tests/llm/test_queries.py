@@ -41,6 +41,22 @@ def test_leaks_are_the_planted_passages(spark, documents):
         assert any(item[k : k + 60] in text for k in range(len(item) - 59))
 
 
+def test_mix_by_groups_meets_targets(spark, documents, monkeypatch):
+    """Many shards in many groups: a source still comes near its target."""
+    from arborweft.llm import mixing
+
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), rows_per_shard=2, block_words=8).collect()
+    source = {d: s for d, _, s in documents}
+    taken, target = collections.Counter(), {}
+    for r in rows:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert all(t - 8 * len(documents) / 2 / len(target) <= taken[s] <= t + 8 for s, t in target.items())
+    assert abs(sum(taken.values()) / sum(target.values()) - 1) < 0.02
+
+
 def test_mix_meets_targets(spark, documents):
     rows = run(spark, "op2_mix_sources")
     assert len(rows) == len(documents)
@@ -116,9 +132,27 @@ def test_token_counts_equal_plain_viterbi(spark, documents):
         return -best[-1][1]
 
     got = run(spark, "op5_token_counts")
-    for d, t, _ in documents[:60]:
+    known = {}
+    for d, t, _ in documents:
         words = (t or "").encode().split()
-        assert (got[d]["n_pretokens"], got[d]["n_tokens"]) == (len(words), sum(tokens(MARK + w.decode()) for w in words))
+        for w in words:
+            if w not in known:
+                known[w] = tokens(MARK + w.decode())
+        assert (got[d]["n_pretokens"], got[d]["n_tokens"]) == (len(words), sum(map(known.__getitem__, words)))
+
+
+def test_token_counts_come_near_the_models_own(spark, documents):
+    from arborweft.llm.tokens import is_unigram, own_counts
+
+    with open(queries.MODEL, "rb") as f:
+        assert not is_unigram(f.read())
+    assert is_unigram(b"\x12\x02\x18\x01")
+    assert not is_unigram(b"\x0a\x01x\x12\x02\x18\x02")
+    got = run(spark, "op5_token_counts")
+    own = own_counts([t or "" for _, t, _ in documents], queries.MODEL)
+    counted = sum(r["n_tokens"] for r in got.values())
+    assert abs(counted / sum(own) - 1) < 0.05
+    print(counted, sum(own), counted / sum(own))
 
 
 def test_shards_are_even_and_gapless(spark, documents):
