@@ -37,6 +37,16 @@ def qualified_id(file: Column, kind: Column, name: Column, package: Column | Non
     return F.concat_ws("::", *parts, F.concat(kind, F.lit(":"), name))
 
 
+def forward_slashes(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def callee_name(language: Column, call: Column) -> Column:
+    """What a call's text calls: the expression before the first bracket; in Java the method's name alone. Null where nothing is called."""
+    head = F.trim(F.regexp_extract(call, r"^\s*([\w$.:]+?)\s*\(", 1))
+    return F.when(head != "", F.when(language == "java", F.substring_index(head, ".", -1)).otherwise(head))
+
+
 def split_list(text: Column) -> Column:
     """A comma-separated list, its parts trimmed."""
     return F.transform(F.split(text, ","), lambda x: F.trim(x))

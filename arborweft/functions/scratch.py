@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """spark.checkpoint.dir as it is; a folder of our own only where it is unset."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        base = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-    spark.sparkContext.setCheckpointDir(base)
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as it is. Only a local master, whose executors are this machine, gets a folder of its own where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    os.makedirs("/tmp/checkpoints", exist_ok=True)
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(dir="/tmp/checkpoints"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended; its owner clears the folder
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read from the shared folder from here on; its lineage ends."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written once as a table of the shared folder and read from there: its lineage ends, losing executors costs no more than the tasks
+    they ran, and what follows knows its size and reads only the columns it needs. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -26,6 +26,13 @@ class CodeGraph:
     errors: DataFrame
     files: DataFrame | None = None
 
+    def counts(self) -> DataFrame:
+        """processed, unsupported, errors: one row, whatever the number of files."""
+        read = F.col("supported") & F.col("read_error").isNull()
+        seen = self.files.agg(F.count_if(read).alias("processed"), F.count_if(~F.col("supported")).alias("unsupported"), F.count_if(F.col("supported") & F.col("read_error").isNotNull()).alias("_unread"))
+        failed = self.errors.agg(F.count("*").alias("_failed"))
+        return seen.crossJoin(failed).select("processed", "unsupported", (F.col("_unread") + F.col("_failed")).alias("errors"))
+
     def report(self, directory: str) -> dict:
         """What a run saw: one small document."""
         f = self.files

@@ -128,13 +128,8 @@ def _(s, d):
     return gnodes(s, d).where("kind = 'Type'").select("id").join(gedges(s, d, "USES").select(F.col("dst").alias("id")), "id", "left_semi")
 
 
-@op("leaf_nodes", "SELECT id FROM gnodes o WHERE kind = 'Function' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.src = o.id)")
-def _(s, d):
-    return paths.leaves(gnodes(s, d).where("kind = 'Function'").select("id"), gedges(s, d, "CALLS"))
-
-
 @op(
-    "leaf_nodes_reachable",
+    "leaf_nodes",
     ", p AS (SELECT dst FROM calls WHERE src NOT IN (SELECT dst FROM calls) UNION SELECT c.dst FROM p JOIN calls c ON c.src = p.dst) SELECT dst AS id FROM p WHERE dst NOT IN (SELECT src FROM calls)",
     recursive=True,
 )
@@ -217,22 +212,10 @@ _LASTS = "lasts AS (SELECT dst FROM calls WHERE dst NOT IN (SELECT src FROM call
 
 @op(
     "callers_transitive",
-    f", {_LASTS}, p AS (SELECT l.dst AS target, c.src AS caller, 1 AS depth FROM lasts l JOIN calls c ON c.dst = l.dst UNION ALL SELECT target, c.src, depth + 1 FROM p JOIN calls c ON c.dst = p.caller WHERE depth < 4) SELECT target, count(DISTINCT caller) AS callers FROM p GROUP BY target",
-    recursive=True,
-)
-def _(s, d):
-    e = gedges(s, d, "CALLS")
-    last = e.select(F.col("dst").alias("id")).join(e.select(F.col("src").alias("id")), "id", "left_anti").distinct()
-    return paths.reachable(paths.reverse(e), last, 4).groupBy(F.col("start").alias("target")).agg(F.count_distinct("id").alias("callers"))
-
-
-@op(
-    "callers_transitive_all",
     f", {_LASTS}, p AS (SELECT l.dst AS target, c.src AS caller FROM lasts l JOIN calls c ON c.dst = l.dst UNION ALL SELECT target, c.src FROM p JOIN calls c ON c.dst = p.caller) SELECT target, count(DISTINCT caller) AS callers FROM p GROUP BY target",
     recursive=True,
 )
 def _(s, d):
-    # CALLS* without a bound; callers_transitive is the same question within 4 hops
     e = gedges(s, d, "CALLS")
     last = e.select(F.col("dst").alias("id")).join(e.select(F.col("src").alias("id")), "id", "left_anti").distinct()
     return paths.reachable(paths.reverse(e), last).groupBy(F.col("start").alias("target")).agg(F.count_distinct("id").alias("callers"))
@@ -281,7 +264,7 @@ def _(s, d):
 def _(s, d):
     n, e = gnodes(s, d).select("id", "kind"), gedges(s, d)
     a, b = n.select(F.col("id").alias("src"), F.col("kind").alias("source")), n.select(F.col("id").alias("dst"), F.col("kind").alias("target"))
-    return e.select("src", "dst", "relation").distinct().join(a, "src").join(b, "dst").select("source", "target", "relation").distinct()
+    return e.select("src", "dst", "relation").join(a, "src").join(b, "dst").select("source", "target", "relation").distinct()
 
 
 @op("path_count_distinct", "SELECT count(DISTINCT a.src || '>' || a.dst || '>' || b.dst) AS n FROM trans a JOIN trans b ON b.src = a.dst WHERE a.src <> b.src OR a.dst <> b.dst")
@@ -383,16 +366,12 @@ def _(s, d):
     return resolve.resolve_implements(rows, _classes(s, d), PackageFilter()).select("src", "dst")
 
 
-_FUNCTIONS = "f AS (SELECT 'f' || (o_orderkey % 7) || '::pkg::T' || (o_custkey % 11) || '::function:m' || (o_orderkey % 13) AS id, 'm' || (o_orderkey % 13) AS name, 'f' || (o_orderkey % 7) AS file FROM orders WHERE o_orderkey % 5 = 0)"
+_FUNCTIONS = "f AS (SELECT 'f' || (o_orderkey % 7) || '::pkg::T' || (o_custkey % 11) || '::function:m' || (o_orderkey % 13) AS id, 'm' || (o_orderkey % 13) AS name, 'f' || (o_orderkey % 7) AS file FROM orders)"
 
 
-_SOME = " WHERE o_orderkey % 5 = 0"
-
-
-def _functions(s, d, whole: bool = False):
+def _functions(s, d):
     n = lambda c, k: (F.col(c) % k).cast("string")
     o = table(s, d, "orders")
-    o = o if whole else o.where(F.col("o_orderkey") % 5 == 0)
     file, name = F.concat(F.lit("f"), n("o_orderkey", 7)), F.concat(F.lit("m"), n("o_orderkey", 13))
     return o.select(F.concat(file, F.lit("::pkg::T"), n("o_custkey", 11), F.lit("::function:"), name).alias("id"), name.alias("name"), file.alias("file"))
 
@@ -404,16 +383,11 @@ def _functions(s, d, whole: bool = False):
     r AS (SELECT method_name, object_type, min(id) AS target_id FROM u JOIN df ON name = method_name AND contains(id, '::' || object_type || '::') GROUP BY ALL)
     SELECT k, method_name, object_type, target_id FROM c LEFT JOIN r USING (method_name, object_type)""",
 )
-def _(s, d, whole=False):
+def _(s, d):
     n = lambda c, k: (F.col(c) % k).cast("string")
     kind = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "pkg::").otherwise(""), F.lit("T"), n("o_custkey", 14))
     calls = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("m"), n("o_orderkey", 17)).alias("method_name"), kind.alias("object_type"))
-    return resolve.resolve_typed_calls(calls, _functions(s, d, whole)).select("k", "method_name", "object_type", "target_id")
-
-
-@op("resolve_typed_call_all", ORACLE["resolve_typed_call"].replace(_SOME, ""), graph=False)
-def _(s, d):
-    return QUERIES["resolve_typed_call"](s, d, True)
+    return resolve.resolve_typed_calls(calls, _functions(s, d)).select("k", "method_name", "object_type", "target_id")
 
 
 @op(
@@ -422,15 +396,10 @@ def _(s, d):
     h AS (SELECT name, file, min(id) AS x FROM f GROUP BY ALL), o AS (SELECT name, min(id) AS y FROM f GROUP BY name HAVING count(*) = 1)
     SELECT k, method_name, c.file, coalesce(x, y) AS target_id FROM c LEFT JOIN h ON h.name = method_name AND h.file = c.file LEFT JOIN o ON o.name = method_name""",
 )
-def _(s, d, whole=False):
+def _(s, d):
     n = lambda c, k: (F.col(c) % k).cast("string")
     calls = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("m"), n("o_orderkey", 17)).alias("method_name"), F.concat(F.lit("f"), n("o_custkey", 9)).alias("file"))
-    return resolve.resolve_untyped_calls(calls, _functions(s, d, whole)).select("k", "method_name", "file", "target_id")
-
-
-@op("resolve_untyped_call_all", ORACLE["resolve_untyped_call"].replace(_SOME, ""), graph=False)
-def _(s, d):
-    return QUERIES["resolve_untyped_call"](s, d, True)
+    return resolve.resolve_untyped_calls(calls, _functions(s, d)).select("k", "method_name", "file", "target_id")
 
 
 @op(
@@ -595,7 +564,7 @@ def _(s, d):
 
     rows = table(s, d, "supplier").select("s_nationkey", F.struct("s_suppkey", F.concat(F.lit("<servlet-mapping><servlet-name>S"), F.col("s_nationkey").cast("string"), F.lit("</servlet-name><url-pattern>/u"), F.col("s_suppkey").cast("string"), F.lit("</url-pattern></servlet-mapping>")).alias("b")).alias("x"))
     blocks = rows.groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["b"]), "").alias("b"))
-    head = F.concat(F.lit("<servlet><servlet-name>S"), F.col("s_nationkey").cast("string"), F.lit("</servlet-name></servlet>"))
+    head = F.concat(F.lit("<servlet><servlet-name>S"), F.col("s_nationkey").cast("string"), F.lit("</servlet-name><servlet-class>c.S</servlet-class></servlet>"))
     files = blocks.select(F.concat(F.col("s_nationkey").cast("string"), F.lit("/web.xml")).alias("path"), F.concat(head, "b").alias("text"), F.lit(1).alias("seq"))
     nodes, _ = markup.extract_web_xml(files)
     return nodes.where("kind = 'Servlet'").select("id", F.col("metadata")["url-pattern"].alias("url_pattern"))
@@ -667,16 +636,6 @@ def _(s, d):
 
 @op(
     "metadata_update",
-    ", v AS (SELECT 'nation::' || c_nationkey AS id, count(*) AS n FROM customer WHERE c_custkey % 4 = 0 GROUP BY 1) SELECT gnodes.id, coalesce('n' || CAST(v.n AS VARCHAR), 'old') AS value FROM gnodes LEFT JOIN v USING (id) WHERE kind = 'Module'",
-)
-def _(s, d):
-    nodes = gnodes(s, d).where("kind = 'Module'").withColumn("metadata", F.create_map(F.lit("url-pattern"), F.lit("old"), F.lit("type"), F.lit("x")))
-    values = table(s, d, "customer").where("c_custkey % 4 = 0").groupBy(F.concat(F.lit("nation::"), F.col("c_nationkey").cast("string")).alias("id")).agg(F.concat(F.lit("n"), F.count("*").cast("string")).alias("value"))
-    return merge.put_metadata(nodes, values, "url-pattern").select("id", F.col("metadata")["url-pattern"].alias("value"))
-
-
-@op(
-    "metadata_update_all",
     ", v AS (SELECT CASE WHEN c_nationkey % 5 = 0 THEN 'lost::' ELSE 'nation::' END || c_nationkey AS id, count(*) AS n FROM customer GROUP BY 1) SELECT gnodes.id, coalesce('n' || CAST(v.n AS VARCHAR), 'old') AS value FROM gnodes LEFT JOIN v USING (id) WHERE kind = 'Module'",
 )
 def _(s, d):
@@ -794,12 +753,14 @@ def _(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from arborweft.operators import bindings_more  # noqa: F401  registers
     from arborweft.plans import catalogue
 
     return QUERIES | catalogue.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from arborweft.operators import bindings_more  # noqa: F401  registers
     from arborweft.plans import catalogue
 
     return ORACLE | catalogue.oracle_sql()

@@ -29,10 +29,10 @@ def extract_source(language: str, path: str, text: str) -> list[dict]:
     return list(reader(path, text)) if reader else []
 
 
-def read_records(files: DataFrame) -> DataFrame:
+def read_records(files: DataFrame, extra: dict | None = None) -> DataFrame:
     """file, seq, ord and the record as columns, for files (path, language, extractor, text, seq) with a reader of their own. A text that
     cannot be read gives an error record, never a failed task."""
-    readers = {x.name: registry.EXTRACTORS.get(x.name) or READERS.get(x.extractor) for x in registry.all_languages()}
+    readers = {x.name: registry.EXTRACTORS.get(x.name) or READERS.get(x.extractor) for x in registry.all_languages()} | (extra or {})  # extra: readers such as read_renders, which no normal run has
     own = [n for n, f in readers.items() if f]
     columns = ["rec", "id", "kind", "name", "file_path", "src", "dst", "relation", "error"]
     schema = "file string, seq string, ord int, rec string, id string, kind string, name string, file_path string, src string, dst string, relation string, error string, place string, meta string"
@@ -69,7 +69,6 @@ def extract(files: DataFrame, inventory: DataFrame | None = None) -> dict[str, D
     descriptors = files.where("extractor = 'Xml' AND text IS NOT NULL").withColumn("_n", F.lower(file_name(F.col("path"))))
     parts = [markup.extract_jsp(pages, inventory), markup.extract_web_xml(descriptors.where("_n = 'web.xml'")), markup.extract_portlet_xml(descriptors.where("_n = 'portlet.xml'"))]
     for n, e in parts:
-        n = n.withColumn("ord", F.xxhash64("id", F.to_json("metadata")).cast("long"))  # rows of one page are alike to the merge
         nodes = nodes.withColumn("ord", F.col("ord").cast("long")).unionByName(n.select(*columns))
         edges = merge.bag_union(edges, e)
     calls = of("call").select("src", F.col("metadata")["method_name"].alias("method_name"), F.col("metadata")["object_type"].alias("object_type"), F.col("file"))

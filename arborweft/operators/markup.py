@@ -8,26 +8,54 @@ from pyspark.sql import functions as F
 
 from arborweft.functions.names import ancestors, file_name, normal_path, parent, strip_suffixes
 
-_PAGE = r"(?:js|jsp|jspx|jspf)"
-_Q = "[\"']"
-PATTERNS = {
-    "script": rf"<script\b[^>]*?\bsrc\s*=\s*{_Q}([^\"'<]+\.{_PAGE}){_Q}",
-    "script_url": rf"<script\b[^>]*?\bsrc\s*=\s*{_Q}\s*<c:url\s+value\s*=\s*{_Q}([^\"'<]+\.{_PAGE}){_Q}\s*/>",
-    "css": rf"<link\b[^>]*?\brel\s*=\s*{_Q}stylesheet{_Q}[^>]*?\bhref\s*=\s*{_Q}([^\"'<]+?\.css)",
-    "css_url": rf"(?s)<link\b[^>]*?\bhref\s*=\s*{_Q}\s*<c:url\s+value\s*=\s*{_Q}([^\"'<]+?\.css)",
-    "static": rf"<%@\s*include\s+file\s*=\s*{_Q}([^\"']+){_Q}\s*%>",
-    "dynamic": rf"<jsp:include\s+page\s*=\s*{_Q}([^\"']+){_Q}[^>]*?/>",
-    "import": rf"<%@?\s*page\s+import\s*=\s*{_Q}([^\"']+){_Q}\s*%>",
-}
+#: Endings of files that a script tag may name.
+SCRIPTS = ("js", "jsp", "jspx", "jspf")
 
 
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 1)
 
 
+def _tags(text: Column) -> Column:
+    """What stands after each '<' of a page: its name (directives as %@name), its text up to '>' and, for values that hold a tag of
+    their own, the piece that follows."""
+    pieces = F.split(text, "<")
+    name = lambda x: F.regexp_replace(F.regexp_extract(x, r"^(%@?\s*\w+|[A-Za-z][\w:]*)", 1), r"\s|@", "")
+    return F.transform(pieces, lambda x, k: F.struct(name(x).alias("name"), F.substring_index(x, ">", 1).alias("body"), F.coalesce(F.get(pieces, k + 1), F.lit("")).alias("after")))
+
+
+def _attribute(body: Column, name: str) -> Column:
+    """The quoted value of an attribute, wherever it stands in a tag; '' without one."""
+    return F.regexp_extract(body, rf"""(?s)(?:^|[\s"'])(?:{name})\s*=\s*(["'])(.*?)\1""", 2)
+
+
+def _values(tags: Column, of, value) -> Column:
+    return F.filter(F.transform(F.filter(tags, of), value), lambda v: v != "")
+
+
+def _nested(tag: Column, name: str) -> Column:
+    """The value of a self-closed c:url that an attribute's value begins with; '' without one."""
+    opens = tag["body"].rlike(rf"""(?:^|[\s"']){name}\s*=\s*["']\s*$""")
+    url = F.startswith(tag["after"], F.lit("c:url")) & F.contains(tag["after"], F.lit("/>"))
+    return F.when(opens & url, _attribute(F.substring_index(tag["after"], "/>", 1), "value")).otherwise("")
+
+
 def jsp_references(text: Column) -> dict[str, Column]:
-    """Arrays of what a page refers to, by kind of reference, in order of appearance."""
-    return {k: _all(text, p) for k, p in PATTERNS.items()}
+    """Arrays of what a page refers to, by kind of reference, in order of appearance. Attributes may stand in any order."""
+    tags = _tags(text)
+    named = lambda *names: lambda t: t["name"].isin(*names)
+    script = lambda v: F.when(F.substring_index(v, ".", -1).isin(*SCRIPTS) & F.contains(v, F.lit(".")), v).otherwise("")
+    sheet = lambda v: F.regexp_extract(v, r"^(.+?\.css)", 1)
+    styled = lambda t: (t["name"] == "link") & (_attribute(t["body"], "rel") == "stylesheet")
+    return {
+        "script": _values(tags, named("script"), lambda t: script(_attribute(t["body"], "src"))),
+        "script_url": _values(tags, named("script"), lambda t: script(_nested(t, "src"))),
+        "css": _values(tags, styled, lambda t: sheet(_attribute(t["body"], "href"))),
+        "css_url": _values(tags, named("link"), lambda t: sheet(_nested(t, "href"))),
+        "static": _values(tags, named("%include"), lambda t: _attribute(t["body"], "file")),
+        "dynamic": _values(tags, named("jsp:include"), lambda t: _attribute(t["body"], "page")),
+        "import": _values(tags, named("%page"), lambda t: _attribute(t["body"], "import")),
+    }
 
 
 def _place() -> Column:
@@ -39,9 +67,11 @@ def _map(**values) -> Column:
     return F.map_filter(made, lambda _, v: v.isNotNull())
 
 
-def _nodes(rows: DataFrame, id_: Column, kind, name: Column, file_path: Column, metadata: Column) -> DataFrame:
+def _nodes(rows: DataFrame, id_: Column, kind, name: Column, file_path: Column, metadata: Column, part: int = 0, at: Column | None = None) -> DataFrame:
+    """Node rows; ord is their place among the nodes of a file: by part, then by the place inside it."""
     kind = kind if isinstance(kind, Column) else F.lit(kind)
-    return rows.select(F.col("seq"), id_.alias("id"), kind.alias("kind"), name.alias("name"), file_path.alias("file_path"), _place().alias("location"), metadata.alias("metadata"))
+    order = F.lit(part << 32).cast("long") + (F.lit(0) if at is None else at)
+    return rows.select(F.col("seq"), order.alias("ord"), id_.alias("id"), kind.alias("kind"), name.alias("name"), file_path.alias("file_path"), _place().alias("location"), metadata.alias("metadata"))
 
 
 def _edges(rows: DataFrame, src: Column, dst: Column, relation, metadata: Column) -> DataFrame:
@@ -94,24 +124,24 @@ def extract_jsp(files: DataFrame, inventory: DataFrame) -> tuple[DataFrame, Data
     outside = F.when(F.col("found").isNull(), "true")
     web = F.when(F.col("found").isNull(), F.col("web"))
     js_name = F.when(page, jsp_name(target)).otherwise(strip_suffixes(file_name(target), ".js"))
-    nodes = nodes.unionByName(_nodes(scripts, js, F.when(page, "Jsp").otherwise("Js"), js_name, target, _map(path=target, external=outside, web_path=web)))
+    nodes = nodes.unionByName(_nodes(scripts, js, F.when(page, "Jsp").otherwise("Js"), js_name, target, _map(path=target, external=outside, web_path=web), 1, F.col("position")))
     edges = _edges(scripts, me, js, "IncludesJs", _map(position=F.col("position").cast("string")))
 
     styles = _resolve(refs("css", "css_url"), inventory, F.lit(True))
     css = F.concat(F.lit("css::"), target)
-    nodes = nodes.unionByName(_nodes(styles, css, "Module", strip_suffixes(file_name(target), ".css"), target, _map(type=F.lit("css"), path=target, external=outside, web_path=web)))
+    nodes = nodes.unionByName(_nodes(styles, css, "Module", strip_suffixes(file_name(target), ".css"), target, _map(type=F.lit("css"), path=target, external=outside, web_path=web), 2, F.col("position")))
     edges = edges.unionByName(_edges(styles, me, css, "IncludesCss", _map(position=F.col("position").cast("string"))))
 
     includes = _resolve(refs("static", "dynamic"), inventory, F.startswith("web", F.lit("/")))
     to = F.concat(F.lit("jsp::"), target)
-    nodes = nodes.unionByName(_nodes(includes, to, "Jsp", jsp_name(target), target, _map(type=F.lit("jsp"), path=target)))
+    nodes = nodes.unionByName(_nodes(includes, to, "Jsp", jsp_name(target), target, _map(type=F.lit("jsp"), path=target), 3, F.col("position")))
     edges = edges.unionByName(_edges(includes, me, to, "IncludesJsp", _map(type=F.col("how"))))
 
     imports = refs("import")
     cls = F.col("web")
     package = F.when(F.contains(cls, F.lit(".")), F.regexp_extract(cls, r"^(.*)\.[^.]*$", 1))
     made = _map(external=F.lit("true"), qualified_name=cls, package=package, imported_by_jsp=F.col("path"))
-    nodes = nodes.unionByName(_nodes(imports, cls, "Class", F.substring_index(cls, ".", -1), F.lit(""), made))
+    nodes = nodes.unionByName(_nodes(imports, cls, "Class", F.substring_index(cls, ".", -1), F.lit(""), made, 4, F.col("position")))
     edges = edges.unionByName(_edges(imports, me, cls, "Imports", _map(import_type=F.lit("jsp_page_import"), qualified_name=cls)))
     return nodes, edges
 
@@ -131,24 +161,25 @@ def _blocks(files: DataFrame, tag: str) -> DataFrame:
 
 
 def extract_web_xml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Servlets, filters and their classes and mappings of web.xml texts (path, text, seq)."""
+    """Servlets, filters and their classes and mappings of web.xml texts (path, text, seq). What names no class is passed over; of blocks
+    with one name the last counts."""
     top = F.lit("config::web.xml")
-    nodes = _nodes(files, top, "WebXml", F.lit("web.xml"), F.col("path"), _map(type=F.lit("web-xml")))
-    own = lambda tag: _blocks(files, tag).select("path", "seq", "pos", _leaf(F.col("block"), f"{tag}-name").alias("name"), _leaf(F.col("block"), f"{tag}-class").alias("class")).where("name IS NOT NULL")
+    nodes = _nodes(files, top, "WebXml", F.lit("web.xml"), F.col("path"), _map(type=F.lit("deployment-descriptor")))
+    own = lambda tag: _blocks(files, tag).select("path", "seq", "pos", _leaf(F.col("block"), f"{tag}-name").alias("name"), _leaf(F.col("block"), f"{tag}-class").alias("class")).where("name IS NOT NULL AND class <> ''")
     servlets = own("servlet")
     maps = _blocks(files, "servlet-mapping").select("path", "pos", _leaf(F.col("block"), "servlet-name").alias("name"), F.array_join(_leaves(F.col("block"), "url-pattern"), ",").alias("url"))
     last = maps.where("name IS NOT NULL AND url <> ''").groupBy("path", "name").agg(F.max_by("url", "pos").alias("url"))
     servlets = servlets.join(last, ["path", "name"], "left")
     sid, fid = F.concat(F.lit("servlet::"), "name"), F.concat(F.lit("filter::"), "name")
     nodes = nodes.unionByName(
-        _nodes(servlets, sid, "Servlet", F.col("name"), F.concat(F.lit("/servlets/"), "name", F.lit(".java")), _map(type=F.lit("servlet"), **{"class": F.col("class"), "url__pattern": F.col("url")}))
+        _nodes(servlets, sid, "Servlet", F.col("name"), F.concat(F.lit("/servlets/"), "name", F.lit(".java")), _map(type=F.lit("servlet"), **{"class": F.col("class"), "url__pattern": F.col("url")}), 1, F.col("pos"))
     )
     edges = _edges(servlets, top, sid, "Configures", _map(**{"class": F.col("class")}))
-    edges = edges.unionByName(_edges(servlets.where("class IS NOT NULL"), sid, F.col("class"), "ImplementedBy", _map(implements_class=F.col("class"))))
+    edges = edges.unionByName(_edges(servlets, sid, F.col("class"), "ImplementedBy", _map(implements_class=F.col("class"))))
     filters = own("filter")
-    nodes = nodes.unionByName(_nodes(filters, fid, "Filter", F.col("name"), F.concat(F.lit("/filters/"), "name", F.lit(".java")), _map(type=F.lit("filter"), **{"class": F.col("class")})))
+    nodes = nodes.unionByName(_nodes(filters, fid, "Filter", F.col("name"), F.concat(F.lit("/filters/"), "name", F.lit(".java")), _map(type=F.lit("filter"), **{"class": F.col("class")}), 2, F.col("pos")))
     edges = edges.unionByName(_edges(filters, top, fid, "Configures", _map(**{"class": F.col("class")})))
-    edges = edges.unionByName(_edges(filters.where("class IS NOT NULL"), fid, F.col("class"), "ImplementedBy", _map(implements_class=F.col("class"))))
+    edges = edges.unionByName(_edges(filters, fid, F.col("class"), "ImplementedBy", _map(implements_class=F.col("class"))))
     chain = _blocks(files, "filter-mapping").select("path", "seq", "pos", _leaf(F.col("block"), "filter-name").alias("name"), F.posexplode_outer(_leaves(F.col("block"), "url-pattern")).alias("k", "url"))
     chain = chain.join(filters.select("path", "name").distinct(), ["path", "name"], "left_semi").where("url IS NOT NULL")
     chain = chain.withColumn("order", (F.row_number().over(W.partitionBy("path").orderBy("pos", "k")) - 1).cast("string"))
@@ -159,11 +190,10 @@ def extract_web_xml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def extract_portlet_xml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Portlets of portlet.xml texts (path, text, seq)."""
     top = F.lit("config::portlet.xml")
-    nodes = _nodes(files, top, "PortletXml", F.lit("portlet.xml"), F.col("path"), _map(type=F.lit("portlet-xml")))
+    nodes = _nodes(files, top, "PortletXml", F.lit("portlet.xml"), F.col("path"), _map(type=F.lit("portlet-descriptor")))
     b = F.col("block")
-    pairs = F.regexp_extract_all(b, F.lit(r"(?s)<init-param>\s*<name>([^<]*)</name>\s*<value>[^<]*</value>\s*</init-param>"), 1)
-    values = F.regexp_extract_all(b, F.lit(r"(?s)<init-param>\s*<name>[^<]*</name>\s*<value>([^<]*)</value>\s*</init-param>"), 1)
-    params = F.filter(F.zip_with(pairs, values, lambda n, v: F.struct(F.concat(F.lit("param_"), F.trim(n)).alias("k"), F.trim(v).alias("v"))), lambda x: F.startswith(x["k"], F.lit("param_template")))
+    given = F.transform(_all(b, "(?s)<init-param>(.*?)</init-param>"), lambda x: F.struct(F.concat(F.lit("param_"), _leaf(x, "name")).alias("k"), _leaf(x, "value").alias("v")))
+    params = F.filter(given, lambda x: F.startswith(x["k"], F.lit("param_template")) & x["v"].isNotNull())
     portlets = _blocks(files, "portlet").select(
         "path", "seq", "pos", _leaf(b, "portlet-name").alias("name"), _leaf(b, "portlet-class").alias("class"),
         F.array_join(_leaves(b, "portlet-mode"), ",").alias("modes"), F.array_join(_leaves(b, "window-state"), ",").alias("states"),
@@ -171,7 +201,8 @@ def extract_portlet_xml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).where("name IS NOT NULL")
     pid = F.concat(F.lit("portlet::"), "name")
     text = lambda c: F.when(F.col(c) != "", F.col(c))
-    nodes = nodes.unionByName(_nodes(portlets, pid, "Portlet", F.col("name"), F.concat(F.lit("/portlets/"), "name", F.lit(".java")), _map(type=F.lit("portlet"), **{"class": F.col("class")})))
-    extra = F.map_from_entries(F.array_distinct("params"))
+    nodes = nodes.unionByName(_nodes(portlets, pid, "Portlet", F.col("name"), F.concat(F.lit("/portlets/"), "name", F.lit(".java")), _map(type=F.lit("portlet"), **{"class": F.col("class")}), 1, F.col("pos")))
+    later = lambda x, k: F.exists(F.slice("params", k + 2, F.size("params") + 1), lambda y: y["k"] == x["k"])
+    extra = F.map_from_entries(F.filter("params", lambda x, k: ~later(x, k)))  # of one name the last counts
     edges = _edges(portlets, top, pid, "Configures", F.map_concat(_map(modes=text("modes"), states=text("states"), cacheSeconds=F.col("cache")), extra))
     return nodes, edges.unionByName(_edges(portlets.where("class IS NOT NULL"), pid, F.col("class"), "ImplementedBy", _map(fqn=F.col("class"))))

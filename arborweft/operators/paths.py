@@ -17,9 +17,10 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "_x"}).withColumnsRenamed({"dst": "src"}).withColumnsRenamed({"_x": "dst"})
 
 
-def expand(edges: DataFrame, seeds: DataFrame, least: int = 1, most: int | None = None, nodes: bool = True, cap: int = 64, every: int = 6) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, least: int = 1, most: int | None = None, nodes: bool = True, cap: int | None = None, every: int = 6) -> DataFrame:
     """start, end, depth, edge_ids and, if asked, node_ids of all trails of least..most hops from seeds (id). Without a bound, until
-    no trail goes on; trails longer than cap are refused, never left out. Lineage is cut every few hops."""
+    no trail goes on, which happens by itself as no trail has an edge twice; a cap given refuses longer ones, and never leaves them out.
+    Lineage is cut every few hops."""
     hop = edges.select(F.col("src").alias("end"), F.col("dst").alias("_to"), F.col("edge_id").alias("_e"))
     first = seeds.select(F.col("id").alias("start"), F.col("id").alias("end"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("edge_ids"), F.array("id").alias("node_ids"))
     frontier, out = first, first if least == 0 else None
@@ -32,7 +33,7 @@ def expand(edges: DataFrame, seeds: DataFrame, least: int = 1, most: int | None
             frontier = cut(frontier)
             if most is None and frontier.isEmpty():
                 break
-            if most is None and depth > cap:
+            if most is None and cap is not None and depth > cap:
                 raise ValueError(f"trails of more than {cap} hops; give an upper bound or a larger cap")
         if depth >= least:
             out = frontier if out is None else out.unionByName(frontier)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -76,23 +77,35 @@ class GraphStore:
         mark = lambda df: df.withColumn("project_path", F.lit(project_path)).withColumn("project_name", F.lit(project_name))
         edges = repair_endpoints(edges, nodes)
         if "edge_id" not in edges.columns:
-            edges = edges.withColumn("edge_id", F.monotonically_increasing_id())
+            # ids of other projects and of earlier exports are others
+            edges = edges.withColumn("edge_id", F.xxhash64(F.lit(uuid.uuid4().hex), F.monotonically_increasing_id()))
         for name, df, schema, key in (("nodes", mark(nodes), NODES, "id"), ("edges", mark(edges), EDGES, "src")):
             df = df.select(*(F.col(f.name).cast(f.dataType) for f in schema)).repartition("project_path", key).sortWithinPartitions("project_path", key)
             mode = "overwrite" if clear or full else "append"
             writer = df.write.mode(mode).partitionBy("project_path").option("partitionOverwriteMode", "static" if full else "dynamic")
             writer.parquet(f"{self.path}/{name}")
+            if clear and not full and df.isEmpty():  # only partitions with rows are overwritten
+                self._drop(name, project_path)
+
+    def _drop(self, name: str, project_path: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        part = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project_path) if project_path else "__HIVE_DEFAULT_PARTITION__"
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/project_path={part}")
+        p.getFileSystem(conf).delete(p, True)
 
     def delete_project(self, project_path: str) -> int:
         """Drop a project's partitions; returns how many nodes went."""
         n = self.nodes().where(F.col("project_path") == project_path).count()
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        part = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project_path) if project_path else "__HIVE_DEFAULT_PARTITION__"
         for name in ("nodes", "edges"):
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/project_path={part}")
-            p.getFileSystem(conf).delete(p, True)
+            self._drop(name, project_path)
         return n
 
+    def graph(self) -> "Graph":  # noqa: UP037
+        """The stored graph for Cypher: nodes and edges by project."""
+        from arborweft.plans.cypher import Graph
+
+        return Graph(self.node_view(), self.edge_view().select("project_path", "edge_id", "src", "dst", "type"))
+
     def clear(self) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(self.path)

@@ -172,6 +172,30 @@ _DRIVER: dict[str, tuple[tuple[str, ...], str, str, bool]] = {
         ", p AS (SELECT id AS start, id AS reached, 0 AS depth FROM gnodes WHERE id IN ('ord::1', 'ord::2') UNION ALL SELECT start, c.dst, depth + 1 FROM p JOIN calls c ON c.src = p.reached WHERE depth < 3) SELECT start, CAST(depth AS BIGINT) AS depth, reached FROM p",
         True,
     ),
+    "cypher_impact": (
+        ("CALLS",),
+        "MATCH (c:Function)-[:CALLS*]->(f:Function {name: '1-URGENT'}) RETURN f.id AS id, count(DISTINCT c) AS callers",
+        ", p AS (SELECT c.src, c.dst AS id FROM calls c JOIN gnodes g ON g.id = c.dst AND g.name = '1-URGENT' UNION SELECT c.src, p.id FROM p JOIN calls c ON c.dst = p.src) SELECT id, count(DISTINCT src) AS callers FROM p GROUP BY id",
+        True,
+    ),
+    "cypher_zero_hops": (
+        ("CALLS",),
+        "MATCH (f:Function {name: '2-HIGH'})-[:CALLS*0..3]->(x) RETURN x.name AS name, count(DISTINCT x) AS n",
+        ", p AS (SELECT id, 0 AS depth FROM gnodes WHERE kind = 'Function' AND name = '2-HIGH' UNION ALL SELECT c.dst, depth + 1 FROM p JOIN calls c ON c.src = p.id WHERE depth < 3) SELECT name, count(DISTINCT p.id) AS n FROM p JOIN gnodes g ON g.id = p.id GROUP BY name",
+        True,
+    ),
+    "cypher_undirected": (
+        ("CALLS",),
+        "MATCH (a:Function {name: '3-MEDIUM'})-[:CALLS*1..2]-(b) RETURN DISTINCT a.id AS a, b.id AS b",
+        ", u AS (SELECT src AS x, dst AS y, src || dst AS e FROM calls UNION ALL SELECT dst, src, src || dst FROM calls), s AS (SELECT id FROM gnodes WHERE name = '3-MEDIUM') SELECT s.id AS a, u.y AS b FROM s JOIN u ON u.x = s.id UNION SELECT s.id, v.y FROM s JOIN u ON u.x = s.id JOIN u v ON v.x = u.y AND v.e <> u.e",
+        False,
+    ),
+    "cypher_calls_to": (
+        ("CALLS",),
+        "MATCH (c:Function)-[:CALLS]->(f:Function) WHERE f.name = '5-LOW' RETURN c.id AS caller, f.id AS callee",
+        "SELECT c.src AS caller, c.dst AS callee FROM calls c JOIN gnodes g ON g.id = c.dst WHERE g.name = '5-LOW'",
+        False,
+    ),
     "cypher_subquery_literals": (("CONTAINS",), "CALL { MATCH (n:Module) RETURN count(n) AS modules } RETURN modules AS modules, 1 AS one, 'x' AS word", "SELECT count(*) AS modules, CAST(1 AS BIGINT) AS one, 'x' AS word FROM gnodes WHERE kind = 'Module'", False),
 }
 _TRANS = (

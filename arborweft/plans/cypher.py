@@ -23,11 +23,19 @@ ALIASES = {"Js": "JS"}
 
 @dataclass
 class Graph:
-    """nodes: id, node_type and properties; edges: edge_id, src, dst, type."""
+    """nodes: id, node_type and properties; edges: edge_id, src, dst, type. Where both have a project_path, a node is known by project and id,
+    and an edge joins nodes of its own project."""
 
     nodes: DataFrame
     edges: DataFrame
 
+    @property
+    def keyed(self) -> bool:
+        return "project_path" in self.nodes.columns and "project_path" in self.edges.columns
+
+    def key(self, column: str) -> Column:
+        return F.concat_ws("\0", F.coalesce("project_path", F.lit("")), column) if self.keyed else F.col(column)
+
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
@@ -47,7 +55,7 @@ def _walk(x):
 
 
 class Planner:
-    def __init__(self, graph: Graph, params: dict | None, cap: int) -> None:
+    def __init__(self, graph: Graph, params: dict | None, cap: int | None) -> None:
         self.g, self.params, self.cap = graph, params or {}, cap
         self.kinds: dict[str, str] = {}
         self.df: DataFrame | None = None
@@ -64,7 +72,18 @@ class Planner:
             self.step(clause, clauses[k + 1] if k + 1 < len(clauses) else None)
         if self.df is None:
             raise CypherError("nothing to return")
-        return self.df
+        return self.plain_nodes()
+
+    def plain_nodes(self) -> DataFrame:
+        """The result, its nodes without the key."""
+        out = self.df
+        for name in out.columns:
+            kind = self.kinds.get(name, "")
+            if kind == "node":
+                out = out.withColumn(name, F.col(f"`{name}`").dropFields("_gid"))
+            elif kind == "list:node":
+                out = out.withColumn(name, F.transform(F.col(f"`{name}`"), lambda x: x.dropFields("_gid")))
+        return out
 
     def step(self, clause, following) -> None:
         if isinstance(clause, Match):
@@ -84,7 +103,8 @@ class Planner:
             self.expand_config(clause)
         elif isinstance(clause, Sub):
             inner = Planner(self.g, self.params, self.cap)
-            rows = inner.run(clause.query)
+            inner.run(clause.query)
+            rows = inner.df
             self.df = rows if self.df is None else self.df.crossJoin(rows)
             self.kinds |= inner.kinds
 
@@ -107,7 +127,8 @@ class Planner:
             out = out.where(F.col("node_type").isin(*labels))
         for k, e in node.props.items():
             out = out.where((F.col(k) == self.expr(e)) if k in out.columns else F.lit(False))
-        return out.select(F.struct(*self.props).alias("_node"), F.col("id").alias("_nid"))
+        key = self.g.key("id")
+        return out.select(F.struct(*self.props, key.alias("_gid")).alias("_node"), key.alias("_nid"))
 
     def edges(self, rel: RelP) -> DataFrame:
         e = self.g.edges
@@ -115,7 +136,8 @@ class Planner:
             e = e.where(F.col("type").isin(*rel.types))
         if rel.props:
             e = e.where(F.lit(False))  # edges have no properties
-        return e.select("edge_id", "src", "dst", "type")
+        ends = F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")).alias("ends")
+        return e.select("edge_id", self.g.key("src").alias("src"), self.g.key("dst").alias("dst"), "type", ends)
 
     @staticmethod
     def oriented(e: DataFrame, direction: str) -> DataFrame:
@@ -135,7 +157,7 @@ class Planner:
     def bind(self, node: NodeP, column: str) -> None:
         """Bind a pattern node to the ids in a column: join its scan, or compare with what is bound."""
         if node.var and node.var in self.kinds:
-            self.df = self.df.where(F.col(column) == F.col(node.var)["id"])
+            self.df = self.df.where(F.col(column) == F.col(node.var)["_gid"])
             self.constrain(node, F.col(column))
             return
         if not node.var and not node.labels and not node.props:
@@ -181,7 +203,7 @@ class Planner:
         at[k] = f"_n{next(self.fresh)}"
         if first.var and first.var in self.kinds:
             self.constrain(first, None)
-            self.df = self.df.withColumn(at[k], F.col(first.var)["id"])
+            self.df = self.df.withColumn(at[k], F.col(first.var)["_gid"])
         else:
             rows = self.scan(first).select(F.col("_nid").alias(at[k]), *([F.col("_node").alias(first.var)] if first.var else []))
             self.df = rows if self.df is None else self.df.crossJoin(rows)
@@ -197,7 +219,7 @@ class Planner:
             e = self.oriented(self.edges(rel), direction)
             name = f"_e{next(self.fresh)}"
             if rel.least is None:
-                self.df = self.df.join(e.select(F.col("src").alias(at[here]), F.col("dst").alias(at[there]), F.col("edge_id").alias(name), F.struct("edge_id", "src", "dst", "type").alias(f"{name}r")), at[here])
+                self.df = self.df.join(e.select(F.col("src").alias(at[here]), F.col("dst").alias(at[there]), F.col("edge_id").alias(name), F.struct("edge_id", "ends.src", "ends.dst", "type").alias(f"{name}r")), at[here])
                 singles.append((name, rel.types))
                 hops[(here + there) // 2] = ("one", name)
                 if rel.var:
@@ -206,8 +228,12 @@ class Planner:
             else:
                 seeds = self.df.select(F.col(at[here]).alias("id")).distinct()
                 named = pattern.path or rel.var
-                if distinct_ends and len(parts) == 3 and not rel.var and (not pattern.path or self._min_only(following)) and rel.least == 1:
+                # undirected trails may not turn back over an edge, which breadth-first search would
+                nearest = distinct_ends and len(parts) == 3 and not rel.var and (not pattern.path or self._min_only(following))
+                if nearest and rel.least in (0, 1) and direction != "-":
                     found = paths.reachable(e, seeds, rel.most)
+                    if rel.least == 0:
+                        found = found.unionByName(seeds.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")))
                     self.df = self.df.join(found.select(F.col("start").alias(at[here]), F.col("id").alias(at[there]), F.col("depth").alias(f"{name}d")), at[here])
                     hops[(here + there) // 2] = ("depth", f"{name}d")
                 else:
@@ -256,7 +282,7 @@ class Planner:
         known = self.bound_in(patterns)
         keys = [f"_key_{v}" for v in known]
         if known:
-            inner.df = self.df.select(*known, *(F.col(v)["id"].alias(f"_key_{v}") for v in known)).dropDuplicates(keys)
+            inner.df = self.df.select(*known, *(F.col(v)["_gid"].alias(f"_key_{v}") for v in known)).dropDuplicates(keys)
             inner.kinds = {v: "node" for v in known}
         return inner, keys
 
@@ -266,7 +292,7 @@ class Planner:
         inner.filter(clause.where)
         new = [v for v in inner.kinds if v not in self.kinds]
         found = inner.df.select(*keys, *new)
-        with_keys = self.df.withColumns({k: F.col(k.removeprefix("_key_"))["id"] for k in keys})
+        with_keys = self.df.withColumns({k: F.col(k.removeprefix("_key_"))["_gid"] for k in keys})
         self.df = (with_keys.join(found, keys, "left") if keys else with_keys.join(found, F.lit(True), "left")).drop(*keys)
         self.kinds |= {v: inner.kinds[v] for v in new}
 
@@ -287,13 +313,13 @@ class Planner:
             found, keys = self.exists(core[1])
             if not keys:
                 raise CypherError("a pattern in WHERE needs a bound node")
-            with_keys = self.df.withColumns({k: F.col(k.removeprefix("_key_"))["id"] for k in keys})
+            with_keys = self.df.withColumns({k: F.col(k.removeprefix("_key_"))["_gid"] for k in keys})
             self.df = with_keys.join(found, keys, "left_anti" if negative else "left_semi").drop(*keys)
             return
         for x in [x for x in _walk(where) if isinstance(x, tuple) and x and x[0] == "pattern"]:
             found, keys = self.exists(x[1])
             flag = f"_has{id(x)}"
-            with_keys = self.df.withColumns({k: F.col(k.removeprefix("_key_"))["id"] for k in keys})
+            with_keys = self.df.withColumns({k: F.col(k.removeprefix("_key_"))["_gid"] for k in keys})
             self.df = with_keys.join(found.withColumn(flag, F.lit(True)), keys, "left").drop(*keys)
         self.df = self.df.where(self.expr(where))
         self.df = self.df.drop(*(c for c in self.df.columns if c.startswith("_has")))
@@ -308,10 +334,10 @@ class Planner:
         var = c.start[1]
         most = value("maxLevel", None)
         e = self.oriented(self.edges(RelP(None, types, {}, direction)), direction)
-        seeds = self.df.select(F.col(var)["id"].alias("id")).distinct()
+        seeds = self.df.select(F.col(var)["_gid"].alias("id")).distinct()
         found = paths.expand(e, seeds, value("minLevel", 0), most, cap=self.cap)
         path = F.struct("depth", "edge_ids", "node_ids").alias(c.var)
-        self.df = self.df.withColumn("_key", F.col(var)["id"]).join(found.select(F.col("start").alias("_key"), path), "_key").drop("_key")
+        self.df = self.df.withColumn("_key", F.col(var)["_gid"]).join(found.select(F.col("start").alias("_key"), path), "_key").drop("_key")
         self.kinds[c.var] = "path"
 
     def plain(self, e: tuple):
@@ -354,7 +380,7 @@ class Planner:
             out = self.df.select(*keys, *extra)
             if p.distinct:
                 ids = [n for n in kinds if kinds[n] == "node"]
-                out = out.withColumns({f"_d{i}": F.col(f"`{n}`")["id"] for i, n in enumerate(ids)})
+                out = out.withColumns({f"_d{i}": F.col(f"`{n}`")["_gid"] for i, n in enumerate(ids)})
                 out = out.dropDuplicates([*(f"_d{i}" for i in range(len(ids))), *(n for n in kinds if kinds[n] != "node")]).drop(*(f"_d{i}" for i in range(len(ids))))
         old_kinds, self.kinds, self.df = self.kinds, kinds, out
         if p.order:
@@ -380,7 +406,7 @@ class Planner:
         keys, first = [], []
         for i, (_, n) in enumerate(plain):
             if n in nodes:
-                keys.append(F.col(f"_g{i}")["id"].alias(f"_k{i}"))
+                keys.append(F.col(f"_g{i}")["_gid"].alias(f"_k{i}"))
                 first.append(F.first(f"_g{i}").alias(n))
             else:
                 keys.append(F.col(f"_g{i}").alias(n))
@@ -439,7 +465,7 @@ class Planner:
             "in": lambda a, b: F.array_contains(b, a), "=~": lambda a, b: F.regexp_like(a, F.concat(F.lit("^(?:"), b, F.lit(")$"))),
         }
         if op in ("=", "<>") and self.kind_of(e[1]) == "node" and self.kind_of(e[2]) == "node":
-            return binary[op](go(e[1])["id"], go(e[2])["id"])
+            return binary[op](go(e[1])["_gid"], go(e[2])["_gid"])
         if op in binary:
             return binary[op](go(e[1]), go(e[2]))
         if op == "+":
@@ -478,7 +504,7 @@ class Planner:
             if args == ["*"]:
                 return F.count(F.lit(1))
             kind, c = self.kind_of(args[0]), self.expr(args[0], env)
-            c = c["id"] if kind == "node" else c["edge_id"] if kind == "rel" else c["edge_ids"] if kind == "path" else c
+            c = c["_gid"] if kind == "node" else c["edge_id"] if kind == "rel" else c["edge_ids"] if kind == "path" else c
             return F.count_distinct(c) if distinct else F.count(c)
         a = [self.expr(x, env) for x in args]
         simple = {
@@ -499,6 +525,6 @@ class Planner:
         return simple[name](*a)
 
 
-def cypher(graph: Graph, text: str, params: dict | None = None, cap: int = 64) -> DataFrame:
-    """The rows of a query of the subset. Unbounded trails of more than cap hops are an error; distinct ends need no cap."""
+def cypher(graph: Graph, text: str, params: dict | None = None, cap: int | None = None) -> DataFrame:
+    """The rows of a query of the subset. Unbounded trails go on until none does; with a cap, longer ones are an error."""
     return Planner(graph, params, cap).run(parse(text))

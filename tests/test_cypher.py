@@ -63,3 +63,26 @@ def test_errors(g, text):
 
 def test_parser_reads_comments_and_quotes():
     assert len(parse("// c\nMATCH (n:A|B {x: \"it's\"})-[r:R*..4]->() WHERE n.y IS NOT NULL RETURN *")) == 2
+
+
+def test_projects_stay_apart(spark):
+    both = lambda rows: [(*r, p) for r in rows for p in ("p1", "p2")]
+    nodes = spark.createDataFrame(both([("A", "Class", "a"), ("B", "Class", "b")]), "id string, node_type string, name string, project_path string")
+    edges = spark.createDataFrame([(1, "A", "B", "CALLS", "p1"), (2, "A", "B", "CALLS", "p2"), (3, "B", "A", "CALLS", "p2")], "edge_id long, src string, dst string, type string, project_path string")
+    g = Graph(nodes, edges)
+    assert rows(g, "MATCH (a:Class {project_path: 'p1'})-[:CALLS]->(b) RETURN a.id AS a, b.id AS b, b.project_path AS p") == [("A", "B", "p1")]
+    assert rows(g, "MATCH (a {project_path: 'p1'})-[:CALLS*]->(b) RETURN DISTINCT b.id AS b") == [("B",)]
+    assert rows(g, "MATCH p = (a {project_path: 'p2', id: 'A'})-[r:CALLS*2..2]->(b) RETURN [n IN nodes(p) | n.project_path] AS ps") == [(["p2"] * 3,)]
+    assert rows(g, "MATCH (a)-[:CALLS]->(b) RETURN a AS a, count(DISTINCT b) AS n ORDER BY n")[0][0].asDict().keys() >= {"id", "node_type"}
+    assert "_gid" not in cypher(g, "MATCH (a) RETURN a AS a, collect(a) AS l").schema.simpleString()
+    assert rows(g, "MATCH (a)-[r:CALLS]->(b) WHERE a.project_path = 'p1' RETURN startNode(r) AS s, endNode(r) AS e") == [("A", "B")]
+    assert rows(g, "MATCH (n:Class) WHERE NOT ()-[:CALLS]->(n) RETURN n.project_path AS p, n.id AS id") == [("p1", "A")]
+
+
+def test_undirected_paths_do_not_turn_back(spark):
+    nodes = spark.createDataFrame([(x, "X") for x in "abc"], "id string, node_type string")
+    edges = spark.createDataFrame([(1, "a", "b", "R"), (2, "b", "c", "R")], "edge_id long, src string, dst string, type string")
+    got = rows(Graph(nodes, edges), "MATCH (x)-[:R*]-(y) RETURN DISTINCT x.id AS x, y.id AS y")
+    assert got == sorted((x, y) for x in "abc" for y in "abc" if x != y)
+    zero = rows(Graph(nodes, edges), "MATCH (x)-[:R*0..1]->(y) RETURN x.id AS x, count(DISTINCT y) AS n")
+    assert zero == [("a", 2), ("b", 2), ("c", 1)]
