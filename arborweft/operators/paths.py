@@ -7,7 +7,7 @@ what it has seen, so cycles cost nothing. Prune edges to the relations asked for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arborweft.functions.scratch import cut
@@ -22,6 +22,8 @@ def expand(edges: DataFrame, seeds: DataFrame, least: int = 1, most: int | None
     no trail goes on, which happens by itself as no trail has an edge twice; a cap given refuses longer ones, and never leaves them out.
     Lineage is cut every few hops."""
     hop = edges.select(F.col("src").alias("end"), F.col("dst").alias("_to"), F.col("edge_id").alias("_e"))
+    if most is None or most > 2:
+        hop = cut(hop)  # met again each hop
     first = seeds.select(F.col("id").alias("start"), F.col("id").alias("end"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("edge_ids"), F.array("id").alias("node_ids"))
     frontier, out = first, first if least == 0 else None
     depth = 0
@@ -45,6 +47,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int | None = None, per_s
     """start, id, depth: for each seed (id) the nodes it reaches in 1..most hops, with the fewest hops. A seed is in its own result only
     if a cycle leads back. Breadth first; a round meets only nodes not seen before, and is written to the shared folder."""
     hop = edges.select(F.col("src").alias("id"), F.col("dst").alias("_to")).distinct()
+    if most is None or most > 2:
+        hop = cut(hop)  # met again each round
     key = ["start", "id"]
     frontier = seeds.select((F.col("id") if per_start else F.lit("*")).alias("start"), "id").distinct()
     seen, depth = None, 0
@@ -53,10 +57,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int | None = None, per_s
         found = frontier.join(hop, "id").select("start", F.col("_to").alias("id")).distinct()
         if seen is not None:
             found = found.join(seen.select(*key), key, "left_anti")
-        found = cut(found.withColumn("depth", F.lit(depth)))
-        if found.isEmpty():
+        rows = Observation()
+        found = cut(found.withColumn("depth", F.lit(depth)).observe(rows, F.count("*").alias("n")))
+        if not rows.get["n"]:
             break
         seen = found if seen is None else seen.unionByName(found)
+        if depth % 8 == 0:
+            seen = cut(seen)  # one table in place of many
         frontier = found.select(*key)
     return seen if seen is not None else frontier.withColumn("depth", F.lit(0)).where("false")
 
