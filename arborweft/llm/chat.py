@@ -10,8 +10,8 @@ one backslash before any character gives the text back. The loss mask is a list
 characters from the turn's marker, then so many under loss (0 for turns that are not trained on).
 
 Defined cases: null text or role is empty; turns are ordered by (turn, role, text), null turn first; repeated rows are turns of
-their own; a null conv_id is a conversation; an empty table gives no rows. A conversation is one output row and so must fit
-in one.
+their own; of ties (equal turn, role and text) either is first; a null conv_id is a conversation; very long texts are escaped and digested
+whole; an empty table gives no rows; other columns, whatever their names, are ignored. A conversation is one output row and so must fit in one.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -18,14 +19,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where spark.checkpoint.dir is unset."""
+    """The shared folder of the session. Only a local master, whose executors are this machine, gets one of its own where
+    spark.checkpoint.dir is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        base = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    os.makedirs("/tmp/checkpoints", exist_ok=True)
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(dir="/tmp/checkpoints"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -44,10 +48,27 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession):
+    """Scratch tables made inside go when the block ends: results have to be written before. Without it they go when the driver ends."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _at_exit(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
+    """A new path in the shared folder, deleted when the block of scratch_tables, or else the driver, ends."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_at_exit, spark, path)
+    if _open:
+        _open[-1].append(path)
+    else:
+        atexit.register(_at_exit, spark, path)
     return path
 
 

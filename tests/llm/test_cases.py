@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborweft.llm import chat, decontam, jaccard, lines, mixing, quality, sharding, suffix, tokens, warc
-from arborweft.llm.common import Powers, join_sized, materialise
+from arborweft.llm.common import Powers, join_sized, materialise, scratch_path, scratch_tables
 from arborweft.llm.queries import MODEL
 from tests.llm import odd
 from tests.llm.test_queries import brute_components, count_words
@@ -457,3 +457,12 @@ def test_sized_join_has_another_way(spark):
     big = spark.range(100).withColumnRenamed("id", "k")
     assert "BroadcastHashJoin" in join_sized(big, small, "k", "inner", most=1 << 20)._jdf.queryExecution().executedPlan().toString()
     assert join_sized(big, small, "k", "inner", most=0).count() == 50
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    with scratch_tables(spark):
+        path = scratch_path(spark, "short")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
