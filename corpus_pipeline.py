@@ -1,7 +1,13 @@
 """A corpus pipeline over documents: quality rules, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and gives what
-it reads back to the next one. All but the last return the columns of documents.
+it reads back to the next one. All but the last return the columns of documents, whatever further ones these are.
+
+Defined cases, stage by stage. Null and empty texts have no words, so the rules reject them; a stage that gets them all the same keeps them:
+they have no near copies and no passages, are taken 0 times by the mix, and are records of no bytes to sharding. Very long texts are read
+whole everywhere. Ties: of similar documents the smallest doc_id stays, rows without doc_id only where no other is left; a doc_id found
+twice with similar texts keeps one row, and so do repeated rows. A null source is a source of its own. Columns that are called like
+something that a stage computes are kept as they are. Empty tables go through every stage and give an empty result.
 """
 
 from __future__ import annotations
