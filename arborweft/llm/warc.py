@@ -199,7 +199,7 @@ def _record(r: dict) -> bytes:
 
 
 def _members(record: bytes) -> bytes:
-    return b"".join(gzip.compress(record[k : k + MEMBER - 1], 6, mtime=0) for k in range(0, len(record), MEMBER - 1))
+    return b"".join(gzip.compress(record[k : k + MEMBER - 1], 1, mtime=0) for k in range(0, len(record), MEMBER - 1))
 
 
 def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
@@ -210,9 +210,8 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> N
     def run(batches):
         def rows():
             for b in batches:
-                names = b.schema.names
-                for k in range(b.num_rows):
-                    yield _members(_record({c: b.column(c)[k].as_py() for c in names}))
+                for values in zip(*(b.column(c) for c in b.schema.names), strict=True):
+                    yield _members(_record({c: v.as_py() for c, v in zip(b.schema.names, values, strict=True)}))
 
         for own in _by_bytes(rows(), len, file_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(own)[:-1]], pa.binary())], names=["value"])
@@ -222,47 +221,51 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> N
     files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
-def _plain(content: bytes):
+def _plain(content: bytes, step: int = 1 << 14):
     """The bytes of gzip members one after the other, or of a file that is not compressed."""
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content:
-        member = zlib.decompressobj(31)
-        yield member.decompress(content)
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member, out = zlib.decompressobj(31), []
+        while not member.eof and at < len(view):
+            out.append(member.decompress(view[at : at + step]))
+            at += len(view[at : at + step])
+        yield b"".join(out)
         if not member.eof:
             raise zlib.error("cut off")
-        content = member.unused_data
+        at -= len(member.unused_data)
 
 
 def warc_records(content: bytes):
     """(headers, block, error) of each record, by declared length."""
-    left, pieces = b"", _plain(content)
+    held, at, pieces = b"", 0, _plain(content)
     while True:
         try:
-            while (end := left.find(b"\r\n\r\n")) < 0:
-                left += next(pieces)
+            while (end := held.find(b"\r\n\r\n", at)) < 0:
+                held, at = held[at:] + next(pieces), 0
         except (StopIteration, zlib.error) as e:
-            if left.strip(b"\r\n") or isinstance(e, zlib.error):
+            if held[at:].strip(b"\r\n") or isinstance(e, zlib.error):
                 yield {}, b"", "truncated"
             return
-        first, *lines = left[:end].decode("utf-8", "replace").split("\r\n")
+        first, *lines = held[at:end].decode("utf-8", "replace").split("\r\n")
         headers = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = headers.get("Content-Length", "")
         if not first.startswith("WARC/") or not size.isdecimal():
             yield headers, b"", "not a WARC record"
             return
-        error, stop = None, end + 4 + int(size)
-        parts, have = [left], len(left)
+        error, begin, stop = None, end + 4, end + 4 + int(size)
+        parts, have = [held], len(held)
         try:
             while have < stop + 4:
                 parts.append(next(pieces))
                 have += len(parts[-1])
         except (StopIteration, zlib.error):
-            error = None if have >= stop else f"truncated: {have - end - 4} of {size} bytes"
-        left = b"".join(parts) if len(parts) > 1 else left
-        yield headers, left[end + 4 : stop], error
-        left = left[stop + 4 :]
+            error = None if have >= stop else f"truncated: {have - begin} of {size} bytes"
+        held = b"".join(parts) if len(parts) > 1 else held
+        yield headers, held[begin:stop], error
+        at = stop + 4
 
 
 def _read(content: bytes):
