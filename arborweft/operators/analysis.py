@@ -85,10 +85,10 @@ def resolve_graph(parts: dict[str, DataFrame], accept: PackageFilter | None = No
     return CodeGraph(nodes, out, parts["errors"])
 
 
-def analyze_texts(files: DataFrame, accept: PackageFilter | None = None, mode: str = "reference", inventory: DataFrame | None = None) -> CodeGraph:
-    """The graph of texts as ``read_texts`` or ``from_texts`` gives them."""
+def analyze_texts(files: DataFrame, accept: PackageFilter | None = None, mode: str = "reference", inventory: DataFrame | None = None, records: DataFrame | None = None) -> CodeGraph:
+    """The graph of texts as ``read_texts`` or ``from_texts`` gives them; records, where known, spare reading the texts of code again."""
     ordered = cut(files.where("supported").withColumn("seq", source_rank(F.col("path"))))
-    graph = resolve_graph(extract(ordered, inventory if inventory is not None else files), accept, mode)
+    graph = resolve_graph(extract(ordered, inventory if inventory is not None else files, records), accept, mode)
     graph.files = files
     return graph
 

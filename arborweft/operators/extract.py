@@ -57,10 +57,11 @@ def read_records(files: DataFrame, extra: dict | None = None) -> DataFrame:
     return rows.select("*", F.from_json("place", LOCATION).alias("location"), F.from_json("meta", METADATA).alias("metadata")).drop("place", "meta")
 
 
-def extract(files: DataFrame, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
+def extract(files: DataFrame, inventory: DataFrame | None = None, records: DataFrame | None = None) -> dict[str, DataFrame]:
     """nodes (merged by id in source order), edges (a bag), calls (src, method_name, object_type, file) and errors of files (path,
-    language, extractor, text, seq). inventory lists all files there are; the files themselves unless given."""
-    records = read_records(files)
+    language, extractor, text, seq). inventory lists all files there are; the files themselves unless given. records are what
+    ``read_records`` gives of the files, where that is known already."""
+    records = read_records(files) if records is None else records
     inventory = files.select("path") if inventory is None else inventory.select("path")
     of = lambda kind: records.where(F.col("rec") == kind)
     columns = ["seq", "ord", "id", "kind", "name", "file_path", "location", "metadata"]

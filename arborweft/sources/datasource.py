@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import pathlib
-
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from arborweft.sources.files import decode
+from arborweft.sources.files import decode, read_bytes, walk
 from arborweft.sources.registry import detect_path
 
 SCHEMA = "path string, rel_path string, language string, size long, text string, encoding string, read_error string"
 
 
 class Part(InputPartition):
-    def __init__(self, paths: list[str]) -> None:
+    def __init__(self, paths: list[tuple[str, str]]) -> None:
         self.paths = paths
 
 
@@ -23,35 +20,31 @@ class SourceTreeReader(DataSourceReader):
     """Names are listed once; a task reads files of about even total size."""
 
     def __init__(self, root: str, target: int, known_only: bool) -> None:
-        self.root, self.target, self.known_only = pathlib.Path(root).resolve(), target, known_only
+        self.root, self.target, self.known_only = root, target, known_only
 
     def partitions(self) -> list[Part]:
         parts, size = [[]], 0
-        for folder, dirs, names in os.walk(self.root):
-            dirs[:] = sorted(d for d in dirs if not d.startswith("."))
-            for name in sorted(n for n in names if not n.startswith(".")):
-                path = os.path.join(folder, name)
-                if self.known_only and detect_path(path) is None:
-                    continue
-                if size > self.target:
-                    parts.append([])
-                    size = 0
-                parts[-1].append(path)
-                size += os.path.getsize(path)
+        for path, rel, n in walk(self.root):
+            if self.known_only and detect_path(path) is None:
+                continue
+            if size > self.target:
+                parts.append([])
+                size = 0
+            parts[-1].append((path, rel))
+            size += n
         return [Part(p) for p in parts]
 
     def read(self, partition: Part):
-        for path in partition.paths:
-            rel = os.path.relpath(path, self.root).replace("\\", "/")
+        for path, rel in partition.paths:
             try:
-                raw = pathlib.Path(path).read_bytes()
-                yield path.replace("\\", "/"), rel, detect_path(path), len(raw), *decode(raw), None
+                raw = read_bytes(path)
+                yield path, rel, detect_path(path), len(raw), *decode(raw), None
             except OSError as e:
-                yield path.replace("\\", "/"), rel, detect_path(path), None, None, None, str(e)
+                yield path, rel, detect_path(path), None, None, None, str(e)
 
 
 class SourceTree(DataSource):
-    """Options: path; targetBytes (8 MB) for a task; knownOnly (true) to leave out files of no known language."""
+    """Options: path, local or a URI; targetBytes (8 MB) for a task; knownOnly (true) to leave out files of no known language."""
 
     @classmethod
     def name(cls) -> str:

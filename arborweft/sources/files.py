@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import pathlib
+from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +16,49 @@ from arborweft.schema import FILES
 from arborweft.sources.registry import LANGUAGES, detect_path, get_language
 
 
-def list_files(spark: SparkSession, root: str, project_path: str = "") -> DataFrame:
-    """All files below root but those of a name, or in a folder of a name, that begins with a dot. Folders that cannot be read
-    are passed over. Spark's own listing would also leave out names that begin with '_', so the tree is walked here: names
-    only, contents are read by tasks."""
+def _file_system(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a URI (file, hdfs, s3, gs, abfs) and the path in it; names may hold any character."""
+    return FileSystem.from_uri(quote(uri, safe=":/@"))
+
+
+def walk(root: str) -> Iterator[tuple[str, str, int]]:
+    """(path, path below root, bytes) of all files below a folder or URI but those of a name, or in a folder of a name, that begins with
+    a dot. Folders that cannot be read are passed over. Spark's own listing would also leave out names that begin with '_'."""
+    if "://" in root:
+        system, base = _file_system(root)
+        found = system.get_file_info(FileSelector(base, recursive=True, allow_not_found=True))
+        for f in sorted((f for f in found if f.type == FileType.File), key=lambda f: f.path):
+            rel = f.path[len(base.rstrip("/")) :].lstrip("/")
+            if not any(x.startswith(".") for x in rel.split("/")):
+                yield f"{root.rstrip('/')}/{rel}", rel, f.size or 0
+        return
     base = pathlib.Path(root).resolve()
-    rows = []
     for folder, dirs, names in os.walk(base):
         dirs[:] = sorted(d for d in dirs if not d.startswith("."))
-        for name in sorted(names):
-            if name.startswith("."):
-                continue
+        for name in sorted(n for n in names if not n.startswith(".")):
             path = os.path.join(folder, name)
-            language = detect_path(path)
-            spec = get_language(language) if language else None
-            ext = name.rsplit(".", 1)[1] if "." in name[1:] else None
-            rows.append(
-                (project_path, path.replace("\\", "/"), os.path.relpath(path, base).replace("\\", "/"), name, ext, language, spec.extractor if spec else None, spec is not None, ext in ("jsp", "jspx", "jspf"), os.path.getsize(path))
-            )
+            size = os.path.getsize(path) if os.path.exists(path) else 0  # a link may lead nowhere
+            yield path.replace("\\", "/"), os.path.relpath(path, base).replace("\\", "/"), size
+
+
+def read_bytes(path: str) -> bytes:
+    """The content of a local path or URI, as walk gives them."""
+    if "://" not in path:
+        return pathlib.Path(path).read_bytes()
+    system, own = _file_system(path)
+    with system.open_input_stream(own, compression=None) as f:
+        return f.read()
+
+
+def list_files(spark: SparkSession, root: str, project_path: str = "") -> DataFrame:
+    """The files of a tree, local or of a URI: names only, contents are read by tasks."""
+    rows = []
+    for path, rel, size in walk(root):
+        name = rel.rsplit("/", 1)[-1]
+        language = detect_path(path)
+        spec = get_language(language) if language else None
+        ext = name.rsplit(".", 1)[1] if "." in name[1:] else None
+        rows.append((project_path, path, rel, name, ext, language, spec.extractor if spec else None, spec is not None, ext in ("jsp", "jspx", "jspf"), size))
     return spark.createDataFrame(rows, FILES)
 
 
@@ -61,7 +89,7 @@ def read_texts(files: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
             got = []
             for path in b.column("path").to_pylist():
                 try:
-                    got.append((*decode(pathlib.Path(path).read_bytes()), None))
+                    got.append((*decode(read_bytes(path)), None))
                 except OSError as e:
                     got.append((None, None, str(e)))
             columns = [pa.array([g[i] for g in got], pa.string()) for i in range(3)]

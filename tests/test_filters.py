@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from arborweft.functions import names as N
 from arborweft.functions.filters import PackageFilter, parse_include, wildcard_to_regex
-from arborweft.sources import files, registry
+from arborweft.sources import datasource, files, registry
 
 
 @pytest.mark.parametrize(
@@ -65,6 +65,26 @@ def test_listing_skips_dot_names(spark, tmp_path):
     assert [r["rel_path"] for r in registry.in_source_order(found).orderBy("seq").collect()][-1] == "page.jsp"
 
 
+def test_listing_of_a_uri(spark, tmp_path):
+    """Names with blanks, signs and marks; hidden folders; a file that has gone; a link to nowhere."""
+    for name in ("in/a b%1#é.java", "_c/d.js", ".git/x.java"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("class A { }")
+    (tmp_path / "gone.rs").symlink_to(tmp_path / "nowhere")
+    found = files.list_files(spark, f"file://{tmp_path}").where("supported AND name != 'gone.rs'")
+    assert {r["rel_path"]: (r["text"], r["read_error"]) for r in files.read_texts(found).collect()} == {n: ("class A { }", None) for n in ("in/a b%1#é.java", "_c/d.js")}
+    (tmp_path / "_c/d.js").unlink()
+    lost = {r["rel_path"]: r["read_error"] for r in files.read_texts(found).collect()}
+    assert lost["_c/d.js"]
+    assert lost["in/a b%1#é.java"] is None
+    local = files.read_texts(files.list_files(spark, str(tmp_path)).where("supported")).collect()
+    assert {r["name"]: r["read_error"] is None for r in local} == {"a b%1#é.java": True, "gone.rs": False}
+    assert files.list_files(spark, f"file://{tmp_path}/none").count() == 0
+    spark.dataSource.register(datasource.SourceTree)
+    tree = spark.read.format("source_tree").load(f"file://{tmp_path}/in").collect()
+    assert [(r["rel_path"], r["language"], r["text"]) for r in tree] == [("a b%1#é.java", "java", "class A { }")]
+
+
 def test_registry():
     assert registry.has_specialized_extractor("java")
     assert not registry.has_specialized_extractor("python")

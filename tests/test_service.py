@@ -57,7 +57,11 @@ def test_label_modes(service):
     assert service.store.node_view("off").first()["labels"] == ["Node"]
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, tmp_path, monkeypatch):
+    from arborweft.streaming import ingest as module
+
+    parsed, read = [], module.read_records
+    monkeypatch.setattr(module, "read_records", lambda files: parsed.append(sorted(r["path"] for r in files.collect())) or read(files))
     (tmp_path / "in").mkdir()
     put = lambda n, path, text, at: (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"path": path, "text": text, "at": at}))
     store = GraphStore(spark, str(tmp_path / "graph"))
@@ -70,3 +74,12 @@ def test_stream(spark, tmp_path):
     go()
     calls = [(r["src"], r["dst"]) for r in store.edge_view().where("type = 'CALLS'").collect()]
     assert calls == [("A.java::A::function:m", "B.java::B::function:late")]
+    put(4, "C.java", "class C { }", "2024-01-03T00:00:00Z")
+    go()
+    # only what a batch brings is parsed, and the version before it stays
+    assert parsed == [["A.java", "B.java"], ["A.java"], ["C.java"]]
+    assert sorted(x.name for x in (tmp_path / "src").iterdir()) == ["v1", "v2"]
+    rows = spark.read.parquet(str(tmp_path / "src" / "v2" / "sources"))
+    assert {(r["path"], r["fresh"]) for r in rows.collect()} == {("A.java", False), ("B.java", False), ("C.java", True)}
+    assert {r["id"] for r in store.nodes().where("kind = 'Class'").collect()} == {"A", "B", "C"}
+    assert [(r["src"], r["dst"]) for r in store.edge_view().where("type = 'CALLS'").collect()] == calls
