@@ -87,7 +87,7 @@ WITH base AS (
   FROM documents),
 n AS (SELECT *, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines FROM base),
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(list_filter(w, lambda x: x = '|')) AS bars FROM base),
 grams AS (SELECT doc_id, i, list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2) AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM n WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
@@ -95,11 +95,11 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS r FROM twice, range(3) t(j) GROU
 s AS (SELECT n.*, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words FROM n LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 15
+  NOT (base_failed OR (n_symbols - bars) * 10 > n_words - bars OR word_chars - bars < (n_words - bars) * 2 OR word_chars > n_words * 15
     OR n_dup_lines * 2 > len(ls) OR length(regexp_replace(t, '[^A-Z]', '', 'g')) * 2 > word_chars
     OR len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)\s*$'))) * 10 > len(ls) * 3
     OR len(list_filter(ls, lambda l: regexp_matches(l, '^\s*[-•*]'))) * 10 > len(ls) * 9
-    OR len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) * 10 < n_words * 7) AS kept
+    OR len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) * 10 < (n_words - bars) * 7) AS kept
 FROM f
 """
 

@@ -100,6 +100,11 @@ class Doc:
     def n_symbols(self) -> Column:
         return F.regexp_count(self.text, F.lit(r"[#*$%&|<>]")).cast("long")
 
+    @property
+    def n_bars(self) -> Column:
+        """Bars that stand alone, as between the cells of a table."""
+        return F.size(F.filter(self.words, lambda x: x == "|")).cast("long")
+
     @property
     def n_capitals(self) -> Column:
         return F.regexp_count(self.text, F.lit("[A-Z]")).cast("long")
@@ -144,16 +149,19 @@ def base_rules() -> list[Rule]:
 
 
 def default_rules() -> list[Rule]:
-    """Rules that junk fails and prose of any language passes; all read whole texts."""
+    """Rules that junk fails and prose of any language passes, in lines or in the cells of a table; all read whole texts.
+
+    Bars that stand alone are layout: neither symbols nor words. Symbols and lengths are judged without them only where they fail with them,
+    as leaving bars out never makes a text fail."""
     of_lines = lambda pattern, times, most: lambda d: d.lines(lambda own: F.size(F.filter(own, lambda x: x.rlike(pattern))) * times > F.size(own) * most)
     return [
-        Rule("symbols", lambda d: d.n_symbols * 10 > d.n_words),
-        Rule("word_length", lambda d: _let(d.word_chars, lambda c: (c < d.n_words * 2) | (c > d.n_words * 15))),
+        Rule("symbols", lambda d: (d.n_symbols * 10 > d.n_words) & (d.n_symbols * 10 - d.n_bars * 9 > d.n_words)),
+        Rule("word_length", lambda d: _let(d.word_chars, lambda c: ((c < d.n_words * 2) & (c + d.n_bars < d.n_words * 2)) | (c > d.n_words * 15))),
         Rule("dup_lines", lambda d: d.lines(lambda own: (F.size(own) - F.size(F.array_distinct(own))) * 2 > F.size(own))),
         Rule("shouting", lambda d: d.n_capitals * 2 > d.word_chars),
         Rule("ellipsis", of_lines(r"(\.\.\.|…)\s*$", 10, 3)),
         Rule("bullets", of_lines(r"^\s*[-•*]", 10, 9)),
-        Rule("letters", lambda d: F.size(F.filter(d.words, lambda x: x.rlike(r"\p{L}"))) * 10 < d.n_words * 7),
+        Rule("letters", lambda d: F.size(F.filter(d.words, lambda x: x.rlike(r"\p{L}"))) * 10 < (d.n_words - d.n_bars) * 7),
     ]
 
 

@@ -452,6 +452,19 @@ def test_lazy_and_whole_verdicts_agree(spark, docs):
     assert collections.Counter(r["doc_id"] for r in quality.keep_good(table).collect()) == want
 
 
+def test_bars_of_tables_are_layout(spark):
+    word = lambda k: f"{'bcdfghklmn'[k % 10]}a{'prstvwz'[k % 7]}e{'io'[k % 2]}n{chr(97 + k % 25)}"
+    cells = [word(k) for k in range(90)]
+    table = "\n".join(" | ".join(cells[k : k + 5]) for k in range(0, 90, 5))
+    made = [table, table.replace("|", "#"), " ".join(f"{c}|||" for c in cells), "\n".join(f"| {k} | {k * 7} | {k * 11} |" for k in range(40)), "| " * 99]
+    made.append(" | ".join(f"{chr(97 + k % 26)}{k // 26}" for k in range(90)) + " " + table)
+    got = quality.apply_rules(odd.docs(spark, [(i, t, "s") for i, t in enumerate(made)], clash=False)).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {0: True, 1: False, 2: False, 3: False, 4: False, 5: True}
+    assert {r["doc_id"]: r["n_symbols"] for r in got}[0] == table.count("|")
+    kept = quality.keep_good(odd.docs(spark, [(i, t, "s") for i, t in enumerate(made)], clash=False))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 5}
+
+
 def test_sized_join_has_another_way(spark):
     small = materialise(spark.range(50).withColumnRenamed("id", "k"), "small")
     big = spark.range(100).withColumnRenamed("id", "k")
