@@ -5,7 +5,7 @@ Wherever several candidates fit, the smallest one is taken, so results never dep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborweft.functions.filters import PackageFilter
@@ -65,8 +65,13 @@ def resolve_implements(nodes: DataFrame, classes: DataFrame, accept: PackageFilt
     m = F.col("metadata")
     has = nodes.where("kind = 'Class'").select("id", F.coalesce(m["interfaces_fqn"], m["interfaces"]).alias("fqns"), m["interfaces"].alias("simples")).where("fqns IS NOT NULL")
     trimmed = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
-    rows = has.select("id", F.posexplode(trimmed("fqns")).alias("pos", "first"), trimmed("fqns").alias("all"), trimmed("simples").alias("names")).where("first <> ''")
-    rows = rows.withColumn("second", F.try_element_at("names", F.array_position("all", F.col("first")).cast("int"))).drop("all", "names")
+    # the lists meet place by place and a digest stands for them, as rows that carry whole lists are quadratic in their length
+    both = F.arrays_zip(trimmed("fqns").alias("first"), F.coalesce(trimmed("simples"), F.array().cast("array<string>")).alias("second"))
+    lists = has.select("id", F.sha2("fqns", 256).alias("_a"), F.sha2("simples", 256).alias("_b"), both.alias("both"))
+    rows = lists.select("id", "_a", "_b", F.posexplode("both").alias("pos", "x"))
+    rows = rows.select("id", "_a", "_b", "pos", F.col("x")["first"].alias("first"), F.col("x")["second"].alias("second")).where("first <> ''")
+    earliest = Window.partitionBy("id", "_a", "_b", "first").orderBy("pos")
+    rows = rows.withColumn("second", F.first("second").over(earliest)).drop("_a", "_b")
     out = resolve_with_fallback(rows, classes, "first", "second", accept)
     target = F.coalesce("target_id", "first") if phantoms else F.col("target_id")
     return out.select(F.col("id").alias("src"), target.alias("dst"), F.lit("Implements").alias("relation")).where("dst IS NOT NULL")
