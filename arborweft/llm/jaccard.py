@@ -11,11 +11,14 @@ size; they order n-grams, and never decide a link.
 2. features: size, digest and rare prefix of each document; equal digests are one class.
 3. documents that share a prefix n-gram, and that their sizes, the places of that n-gram and parity bitmaps of their sets leave
    a chance, are candidates; their components are found by contraction.
-4. each component, pairs too, is searched in one place (huge ones in chunks): short inverted lists are merged by heap, long ones
-   probed by binary search, and documents that reach T are linked. A document linked to a leader is not indexed itself. Links between two
+   Passages that many unrelated documents quote join those to large components, so all pairs of each component that sizes allow
+   are tested by bitmap (large ones in tiles of bounded size), and components are found anew from what is left.
+4. each component, pairs too, is searched in one place (huge ones in chunks): short inverted lists are merged, long ones
+   probed by binary search, or counted where that takes less, and documents that reach T are linked. A document linked to a leader is not indexed itself. Links between two
    leaders' followers are bounded by the triangle inequality of the Jaccard distance, and only pairs of leaders near
    enough for one have their followers compared. So a group of n near copies costs about n searches, and no link is lost.
-5. chunks of one component meet by their leaders, then by followers of near leaders, in blocks of bounded size.
+5. chunks of one component meet by their leaders, then by those pairs of different components that sizes and bitmaps leave a chance,
+   in blocks of bounded size.
 
 Defined cases: white space is \\x20\\x09-\\x0D; null or empty texts have no set and link with nothing; fewer words than n are one n-gram;
 rows of equal doc_id are one node; rows without doc_id are nodes by their text (128-bit hash), link like others and never name a component: a
@@ -26,12 +29,11 @@ names, are ignored by ``jaccard_components`` and kept by ``near_dedup``; hashes
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import random
 import zlib
+from array import array
 from bisect import bisect_left
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -171,9 +173,9 @@ def _features(docs: DataFrame, n: int, percent: int, bits: int, hot: int) -> Dat
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """A bitmap of the parity of the n-grams in each of 1,024 buckets, 16,384 for large sets: two of them differ in at most as
-    many places as the sets in elements."""
-    width = 1024 if len(s) < 4000 else 16384
+    """A bitmap of the parity of the n-grams in each of 4 to 8 buckets an n-gram, a power of two from 256 to 2**18: two of them differ
+    in at most as many places as the sets in elements. Sets that may be linked have widths that are equal or differ by one step."""
+    width = 1 << min(18, max(8, (4 * len(s)).bit_length()))
     odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
@@ -207,9 +209,12 @@ def _near_pairs(nodes: DataFrame, percent: int, few: int = 32) -> DataFrame:
     tested = materialise(met.where(F.size("r") <= few).select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u != v").distinct(), "pairs")
     side = lambda c: nodes.select(F.col("_id").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("_bits").alias(f"{c}_bits"))
     known = tested.join(side("u"), "u").join(side("v"), "v")
-    differ = F.aggregate(F.zip_with("u_bits", "v_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    width = F.least(F.size("u_bits"), F.size("v_bits"))
+    fold = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, 1, width), F.slice(c, width + 1, width), xor)).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(fold("u_bits"), fold("v_bits"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
     most = (F.col("u_n") + F.col("v_n")) * ((100 - percent) / (100.0 + percent)) + 1e-6
-    known = known.where((F.size("u_bits") != F.size("v_bits")) | (differ <= most))
+    known = known.where(differ <= most)
     return known.select("u", "v").union(met.where(F.size("r") > few).select(F.explode(chain).alias("e")).select("e.u", "e.v"))
 
 
@@ -240,18 +245,98 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(out, "roots")
 
 
+def near_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], percent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of numbers of sets that connect all those whose sizes and parity bitmaps leave a link a chance; where components are known,
+    all such pairs between different ones. With sides, those pairs only that have one set on either. bitmaps: unsigned, as bits of
+    signed numbers are counted without their sign."""
+    root, share, out = np.arange(len(sizes)) if known is None else known, (100 - percent) / (100.0 + percent), []
+    classes: dict[int, np.ndarray] = {}
+    for k in np.argsort(sizes, kind="stable").tolist():
+        classes.setdefault(len(bitmaps[k]), []).append(k)
+    rows = {w: (np.array(own), np.stack([bitmaps[k] for k in own])) for w, own in classes.items()}
+    for w, (own, bits) in rows.items():
+        parts = [(own, bits)]
+        if 2 * w in rows:  # bucket by remainder, so the wider bitmap is folded by adding its halves
+            more, wide = rows[2 * w]
+            parts.append((more, wide[:, :w] ^ wide[:, w:]))
+        for at, k in enumerate(own.tolist()):
+            for part, (others, of) in enumerate(parts):
+                first = 0 if part else at + 1
+                last = np.searchsorted(sizes[others], sizes[k] * 100 // percent, "right")
+                js = others[first:last]
+                fit = root[js] != root[k]
+                if side is not None:
+                    fit &= side[js] != side[k]
+                if not fit.any():
+                    continue
+                js = js[fit]
+                differ = np.bitwise_count(of[first:last][fit] ^ bits[at]).sum(1, dtype=np.int64)
+                js = js[differ <= (sizes[k] + sizes[js]) * share + 1e-6]
+                if known is not None:
+                    out += [(k, int(j)) for j in js]
+                elif len(js):
+                    met, where = np.unique(root[js], return_index=True)
+                    out += [(k, int(j)) for j in js[where]]
+                    root[np.isin(root, met)] = root[k]
+    return out
+
+
+def _near_edges(members: DataFrame, percent: int, limit: int = 4 << 20) -> DataFrame:
+    """u, v: what near_pairs leaves of each component of members (_comp, _id, n_shingles, _bits, _known). Components of more bytes of bitmaps than limit are cut by size, so that links cross to the next class at most, and each class into pieces, which meet two by two."""
+    step = max(math.log(100 / percent), 1e-3) + 1e-9
+    weight = F.size("_bits") * 8 + 64
+    rows = members.withColumn("_class", F.floor(F.log("n_shingles") / step).cast("int"))
+    sums = rows.groupBy("_comp", "_class").agg(F.sum(weight).alias("b")).groupBy("_comp").agg(F.sum("b").alias("b"), F.max("b").alias("most"))
+    cut = F.when(F.col("b") > limit, F.ceil(F.col("most") / limit)).otherwise(0).cast("int")
+    sums = materialise(sums.select("_comp", cut.alias("_cut")), "cuts")
+    rows = join_sized(rows, sums, "_comp", "inner", 16)
+    own = F.pmod(F.xxhash64("_id"), F.greatest("_cut", F.lit(1))).cast("int")
+    every = F.sequence(F.lit(0), F.col("_cut") - 1)
+    tile = lambda cls, across, i, j, side: F.struct(cls.alias("_class"), F.lit(across).alias("_across"), i.alias("_i"), j.alias("_j"), side.alias("_side"))
+    zero = F.lit(0)
+    tiles = F.when(F.col("_cut") == 0, F.array(tile(zero, 0, zero, zero, zero))).otherwise(
+        F.concat(
+            F.transform(every, lambda j: tile(F.col("_class"), 0, F.least(own, j), F.greatest(own, j), (own > j).cast("int"))),
+            F.transform(every, lambda j: tile(F.col("_class"), 1, own, j, zero)),
+            F.transform(every, lambda j: tile(F.col("_class") - 1, 1, j, own, F.lit(1))),
+        )
+    )
+    keys = ["_comp", "_class", "_across", "_i", "_j"]
+    dealt = rows.select("_comp", "_id", "n_shingles", "_bits", "_known", F.explode(tiles).alias("t")).select("_comp", "t.*", "_id", "n_shingles", "_bits", "_known")
+
+    def run(batches):
+        for (_, _, across, i, j), held in _groups(batches, keys, ["_side", "_id", "n_shingles", "_bits", "_known"]):
+            side, ids, sizes, bits, known = zip(*held, strict=True)
+            side = np.array(side) if across or i != j else None
+            if side is not None and (side == side[0]).all():
+                continue
+            known = None if known[0] is None else np.array(known, np.int64)
+            found = near_pairs(np.array(sizes), [np.array(b, np.int64).view(np.uint64) for b in bits], percent, side, known)
+            if found:
+                u, v = zip(*((ids[x], ids[y]) for x, y in found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+
+
 class Inverted:
     """An inverted index of sets (sorted arrays of hashes), searched by DivideSkip."""
 
     def __init__(self) -> None:
-        self.lists: dict[int, list[int]] = {}
+        self.lists: dict[int, array] = {}
         self.sets: list[np.ndarray] = []
+        self.sizes = np.zeros(16, np.int64)
 
     def add(self, own: np.ndarray) -> None:
         k = len(self.sets)
         self.sets.append(own)
+        if k == len(self.sizes):
+            self.sizes = np.concatenate([self.sizes, np.zeros(k, np.int64)])
+        self.sizes[k] = len(own)
         for t in own.tolist():
-            self.lists.setdefault(t, []).append(k)
+            if (x := self.lists.get(t)) is None:
+                self.lists[t] = x = array("i")
+            x.append(k)
 
     def search(self, query: np.ndarray, percent: int, wanted=None):
         """(set, overlap) of the sets whose similarity with the query reaches the percentage, the most promising first. wanted(set) is
@@ -266,15 +351,30 @@ class Inverted:
         aside = min(least - 1, int(least / (MU * math.log2(len(lists[-1])) + 1)))
         short = lists[: len(lists) - aside]
         long = lists[len(lists) - aside :]
-        counts = [(k, sum(1 for _ in run)) for k, run in groupby(heapq.merge(*short))]
-        for k, n in sorted(counts, key=lambda x: (-x[1], x[0])):
-            need = _need(a, len(self.sets[k]), percent)
-            if n + aside < need or (wanted is not None and not wanted(k)):
+        merged = np.frombuffer(b"".join(short), np.int32)
+        if len(merged) * 8 < len(self.sets):
+            ks, counts = np.unique(merged, return_counts=True)
+        else:
+            counts = np.bincount(merged, minlength=1)
+            ks = np.flatnonzero(counts)
+            counts = counts[ks]
+        need = -(-percent * (a + self.sizes[ks]) // (100 + percent))
+        open_ = counts + aside >= need
+        ks, counts, need = ks[open_], counts[open_], need[open_]
+        # more probes than entries: the long lists are counted as well
+        probe = long if len(ks) * len(long) * 8 < sum(map(len, long)) + 2000 else ()
+        if long and not probe and len(ks):
+            counts = counts + np.bincount(np.frombuffer(b"".join(long), np.int32), minlength=int(ks[-1]) + 1)[ks]
+            open_ = counts >= need
+            ks, counts, need = ks[open_], counts[open_], need[open_]
+        order = np.lexsort((ks, -counts))
+        for k, n, least in zip(ks[order].tolist(), counts[order].tolist(), need[order].tolist(), strict=True):
+            if wanted is not None and not wanted(k):
                 continue
-            for x in long:
+            for x in probe:
                 at = bisect_left(x, k)
                 n += at < len(x) and x[at] == k
-            if n >= need:
+            if n >= least:
                 yield k, n
 
 
@@ -393,8 +493,8 @@ def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _pair_blocks(rows: DataFrame, percent: int, far: int, limit: int) -> DataFrame:
-    """u, v, linked for pairs across the sides of each group: linked ones, and those of similarity far / 100 or more. rows:
+def _pair_blocks(rows: DataFrame, percent: int, limit: int) -> DataFrame:
+    """u, v: linked pairs across the sides of each group, as many as connect what is linked. rows:
     _group, _side (0 or 1), _id, _set; each side is cut into pieces of about ``limit`` n-grams, and pieces meet two by two."""
     size = F.floor(F.octet_length("_set") / 8)
     pieces = rows.groupBy("_group").agg(
@@ -410,20 +510,25 @@ def _pair_blocks(rows: DataFrame, percent: int, far: int, limit: int) -> DataFra
     def run(batches):
         for _, rows in _groups(batches, keys, ["_side", "_id", "_set"]):
             index, ids, out = Inverted(), [], []
+            number: dict[int, int] = {}
+            for _, i, _ in rows:
+                number.setdefault(i, len(number))
+            joined = Sets(len(number))
             for side, i, s in rows:  # side 0 comes first
                 own = np.frombuffer(s, np.uint64)
                 if side == 0:
                     index.add(own)
                     ids.append(i)
                     continue
-                for k, n in index.search(own, far):
-                    if ids[k] != i:
-                        out.append((ids[k], i, n >= _need(len(own), len(index.sets[k]), percent)))
+                apart = lambda k: joined.find(number[ids[k]]) != joined.find(number[i])  # noqa: B023, E731
+                for k, _ in index.search(own, percent, apart):
+                    joined.join(number[ids[k]], number[i])
+                    out.append((ids[k], i))
             if out:
-                u, v, linked = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
+                u, v = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return cut.repartition(*keys).sortWithinPartitions(*keys, "_side").mapInArrow(run, "u long, v long, linked boolean")
+    return cut.repartition(*keys).sortWithinPartitions(*keys, "_side").mapInArrow(run, "u long, v long")
 
 
 def _texts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -441,26 +546,22 @@ def _texts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _join_chunks(docs: DataFrame, blocks: DataFrame, n: int, percent: int, limit: int) -> DataFrame:
+def _join_chunks(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percent: int, limit: int) -> DataFrame:
     """_id, _root over the components that have several blocks."""
     several = blocks.where("_chunks > 1")
     leaders = several.where("_set IS NOT NULL").select("_comp", F.col("_id"), "_set")
     both = leaders.select(F.col("_comp").alias("_group"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"), "_id", "_set")
-    met = materialise(_pair_blocks(both, percent, max(1, 100 - 3 * (100 - percent)), limit).where("u < v").distinct(), "leaders")
     edges = several.select(F.col("_id").alias("u"), F.col("_root").alias("v")).union(several.select(F.col("_id").alias("u"), F.col("_leader").alias("v")))
-    edges = materialise(edges.union(met.where("linked").select("u", "v")), "chunk-edges")
+    edges = materialise(edges.union(_pair_blocks(both, percent, limit)), "chunk-edges")
     roots = components(edges)
-    # followers of leaders that are near, but in different components
-    root = lambda c: roots.select(F.col("_id").alias(c), F.col("_root").alias(f"{c}_root"))
-    open_pairs = met.where("NOT linked").join(root("u"), "u", "left").join(root("v"), "v", "left")
-    open_pairs = open_pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    open_pairs = materialise(open_pairs.withColumn("_group", F.xxhash64("u", "v")), "open-pairs")
+    # pairs of different components that their bitmaps leave a chance
+    members = materialise(several.select("_id", "_comp").distinct().join(roots, "_id", "left").select("_id", "_comp", F.coalesce("_root", "_id").alias("_known")), "chunk-members")
+    open_pairs = materialise(_near_edges(join_sized(nodes.select("_id", "n_shingles", "_bits"), members, "_id", "inner", 32), percent).distinct(), "open-pairs")
     if not open_pairs.limit(1).count():
         return roots
-    sides = open_pairs.select("_group", F.lit(0).alias("_side"), F.col("u").alias("_leader")).union(open_pairs.select("_group", F.lit(1), "v"))
-    members = materialise(sides.join(several.select("_leader", "_id").distinct(), "_leader").select("_group", "_side", "_id"), "followers")
-    more = _pair_blocks(_texts(docs, members, n), percent, percent, limit)
-    return components(edges.union(more.where("linked").select("u", "v")))
+    sides = open_pairs.select(F.col("u").alias("_group"), F.lit(0).alias("_side"), F.col("u").alias("_id")).distinct()
+    sides = materialise(sides.union(open_pairs.select(F.col("u").alias("_group"), F.lit(1), F.col("v").alias("_id"))), "sides")
+    return components(edges.union(_pair_blocks(_texts(docs, sides, n), percent, limit)))
 
 
 def _components(docs: DataFrame, real, words: int, percent: int, bits: int, hot: int, chunk_shingles: int) -> DataFrame:
@@ -478,7 +579,9 @@ def _components(docs: DataFrame, real, words: int, percent: int, bits: int, hot:
     common = nodes.select("_id", F.explode("_hot").alias("t"))
     least = common.groupBy("t").agg(F.min("_id").alias("v"), F.max("_id").alias("w")).where("v != w")
     edges = _near_pairs(nodes, percent).union(common.join(least, "t").select(F.col("_id").alias("u"), "v"))
-    members = components(edges)
+    members = components(edges).select("_id", F.col("_root").alias("_comp"))
+    members = join_sized(nodes.select("_id", "n_shingles", "_bits"), members, "_id", "inner", 24).withColumn("_known", F.lit(None).cast("long"))
+    members = components(_near_edges(members, percent))
     sizes = features.select("_id", "n_shingles").dropDuplicates(["_id"])
     members = members.select("_id", F.col("_root").alias("_comp")).join(sizes, "_id")
     total = members.groupBy("_comp").agg(F.ceil(F.sum("n_shingles") / chunk_shingles).cast("int").alias("_chunks"))
@@ -488,7 +591,7 @@ def _components(docs: DataFrame, real, words: int, percent: int, bits: int, hot:
     blocks = materialise(sets.mapInArrow(lambda it: _cluster_blocks(it, percent), "_comp long, _chunks int, _id long, _root long, _leader long, _set binary"), "blocks")
     roots = blocks.where("_chunks = 1").select("_id", "_root")
     if blocks.where("_chunks > 1").limit(1).count():
-        roots = roots.union(_join_chunks(docs, blocks, words, percent, chunk_shingles))
+        roots = roots.union(_join_chunks(docs, nodes, blocks, words, percent, chunk_shingles))
     # a doc_id with several texts is one node
     twice = features.groupBy("_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("m")).where("n > 1")
     if twice.limit(1).count():
